@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, token_count, toxicity
+from . import chat, decontaminate, exact_dedup, line_dedup, packing, quality, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_token_count": token_count.op2,
     "op3_toxicity": toxicity.op3,
+    "op4_exact_dedup": exact_dedup.op4,
+    "op6_quality": quality.op6,
+    "op7_line_dedup": line_dedup.op7,
+    "op8_url_filter": url_filter.op8,
+    "op9_chat": chat.op9,
     "op10_packing": packing.op10,
 }
 
-SQL = {"op1_decontaminate": decontaminate.OP1_SQL}
+SQL = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
+    "op4_exact_dedup": exact_dedup.OP4_SQL,
+    "op7_line_dedup": line_dedup.OP7_SQL,
+    "op8_url_filter": url_filter.op8_sql(),
+    "op9_chat": chat.op9_sql(),
+}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, exact_dedup, line_dedup, packing, quality, token_count, toxicity, url_filter
+from . import chat, decontaminate, exact_dedup, line_dedup, ngram_join, packing, quality, token_count, toxicity, url_filter
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1,
     "op2_token_count": token_count.op2,
     "op3_toxicity": toxicity.op3,
     "op4_exact_dedup": exact_dedup.op4,
+    "op5_ngram_join": ngram_join.op5,
     "op6_quality": quality.op6,
     "op7_line_dedup": line_dedup.op7,
     "op8_url_filter": url_filter.op8,

@@ -87,10 +87,10 @@ def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, total:
     cold = keyed.where(F.col(n) <= least).select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.struct(*values).alias("__cold"))
     cond = [F.col(k) == F.col(f"__h_{k}") for k in keys]
     out = rows.join(hot, _all(cond), "left").drop(*[f"__h_{k}" for k in keys])
-    # rows of hot keys get a key that matches nothing and spreads them
-    out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.xxhash64(*rows.columns)))
-    cold = cold.withColumn("__csalt", F.lit(None).cast("long"))
-    cond = [F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.coalesce(F.col("__salt"), F.lit(0)) == F.coalesce(F.col("__csalt"), F.lit(0))]
+    # rows of hot keys are dealt by their own hash, which matches nothing, so no task gets all of a key
+    out = out.withColumn("__deal", F.when(F.col("__hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*keys)))
+    cold = cold.withColumn("__cdeal", F.xxhash64(*[f"__c_{k}" for k in keys]))
+    cond = [F.col("__deal") == F.col("__cdeal"), *[F.col(k) == F.col(f"__c_{k}") for k in keys]]
     out = out.join(cold, _all(cond), "left")
     if how == "inner":
         out = out.where(F.col("__hot").isNotNull() | F.col("__cold").isNotNull())

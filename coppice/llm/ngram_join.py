@@ -248,15 +248,22 @@ class SignatureTree:
     def node(self, lo: int, hi: int, size: int) -> tuple[np.ndarray, int]:
         key = lo, hi, size
         if key not in self.nodes:
-            if hi - lo <= LEAF:
+            if self.middle(lo, hi) is None:
                 m, spare = self.leaf(lo, hi, size)
                 self.nodes[key] = np.bitwise_or.reduce(m, 0), int(spare.max())
             else:
-                mid = (lo + hi) // 2
+                mid = self.middle(lo, hi)
                 (a, s), (b, t) = self.node(lo, mid, size), self.node(mid, hi, size)
                 self.nodes[key] = a | b, max(s, t)
         return self.nodes[key]
 
+    def middle(self, lo: int, hi: int) -> int | None:
+        """Where a node parts in two: first between bitmap lengths, so that a leaf (None) has one length."""
+        if self.length[lo] != self.length[hi - 1]:
+            ends = np.flatnonzero(np.diff(self.length[lo:hi])) + lo + 1
+            return int(ends[np.argmin(np.abs(ends - (lo + hi) // 2))])
+        return (lo + hi) // 2 if hi - lo > LEAF else None
+
     def size(self, x: tuple[int, int], y: tuple[int, int]) -> int:
         """The length that all bitmaps of both can be folded to; sets are in order of size, so of length."""
         return int(min(self.length[x[0]], self.length[y[0]]))
@@ -278,7 +285,7 @@ class SignatureTree:
             x, y = stack.pop()
             if not self.possible(x, y):
                 continue
-            cut = [(z[0], (z[0] + z[1]) // 2, z[1]) if z[1] - z[0] > LEAF else None for z in (x, y)]
+            cut = [(z[0], m, z[1]) if (m := self.middle(*z)) is not None else None for z in (x, y)]
             if cut[0] is None and cut[1] is None:
                 yield from self._leaves(x, y, forest, across)
                 continue

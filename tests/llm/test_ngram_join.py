@@ -88,8 +88,9 @@ def test_tree_loses_no_possible_pair():
     for _ in range(150):
         s = base[r.random(300) > r.choice([0.02, 0.1, 0.5])]
         sets.append(np.unique(np.concatenate([s, r.integers(0, 2**63, r.integers(0, 20), dtype=np.uint64)])))
+    sets += [np.unique(r.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 9, 40, 900, 5000)]
     sets.sort(key=len)
-    tree, forest = J.SignatureTree(np.array([len(s) for s in sets]), [J.signature(s) for s in sets]), J.Forest(150)
+    tree, forest = J.SignatureTree(np.array([len(s) for s in sets]), [J.signature(s) for s in sets]), J.Forest(156)
     list(tree.pairs(forest))
     for i in range(150):
         for j in range(i):

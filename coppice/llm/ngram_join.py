@@ -70,8 +70,8 @@ def prefix_length(n: int) -> int:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap with about a byte for each token; half as long, it is the OR of its halves."""
-    size = max(8, 1 << (len(tokens) - 1).bit_length())
+    """Bitmap with two to four bits for each token; half as long, it is the OR of its halves."""
+    size = max(8, (1 << len(tokens).bit_length()) // 4)
     bits = np.zeros(size * 8, np.uint8)
     bits[(tokens & np.uint64(size * 8 - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, texts
-from .token_count import KEPT_WORDS, load
+from .token_count import load
 
 #: Remainders that a task packs together; a full set is packed and the next one begun.
 PACK_ROWS = 200_000
@@ -72,15 +72,31 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
     return window, offset, n
 
 
+#: Words whose ids a worker keeps; it starts anew beyond that.
+KEPT_IDS = 600_000
+
+#: Signs that are never of one pre-token with the letters before them.
+_ENDS = ".,;:!?)$&%*#"
+
+
 class WordIds(dict):
-    """Word (no space or newline in it) -> its ids as little-endian 32-bit words."""
+    """Word (no space or newline in it) -> its ids as little-endian 32-bit words.
+
+    ASCII words are looked up in lower case, which is how the tokenizer takes them, and letters
+    apart from the signs that end them, as its pre-tokens part there.
+    """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
+        if word.isascii() and word != (low := word.lower()):
+            return self[low]
+        core = word.rstrip(_ENDS)
+        if len(core) < len(word) and core.isalpha():
+            return self[core] + self[word[len(core) :]]
+        if len(self) >= KEPT_IDS:
             self.clear()
         ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) < 100:

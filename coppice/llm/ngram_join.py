@@ -1,8 +1,10 @@
 """Near duplicates: all pairs of word-shingle sets with a Jaccard similarity of at least 0.8.
 
 1. Documents with equal sets form one class. A pass over all texts also counts frequent shingles.
-2. With shingles ordered by frequency, two linked sets share one of their first n - ceil(0.8 n) + 1;
-   those prefixes deal the classes into groups, and groups with equal members are one group.
+2. With shingles ordered by frequency, two linked sets share one among the first n - ceil(8 n / 9) + 1
+   of the smaller and the first n - ceil(0.8 n) + 1 of the larger, and the smaller has at least 0.8
+   of the larger's size. So those prefixes, each shingle's rows in order of size and parted where a
+   step in size is too large, deal the classes into groups; groups with equal members are one group.
 3. In a group, classes form a signature tree: a leaf has their token bitmaps, a node the OR of
    those below and their range of sizes. A dual traversal leaves out node pairs whose largest
    possible overlap is too small. The pairs that stay keep a spanning forest for each group, not
@@ -69,6 +71,12 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
+def early_length(n: int) -> int:
+    """A set's part of the prefix that links it with larger ones: their overlap is 8/9 of it at least."""
+    most = (100 + PERCENT) // 2
+    return n - (PERCENT * n + most - 1) // most + 1
+
+
 def signature(tokens: np.ndarray) -> bytes:
     """Bitmap with two to four bits for each token; half as long, it is the OR of its halves."""
     size = max(8, (1 << len(tokens).bit_length()) // 4)
@@ -135,7 +143,7 @@ def _sets(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
-    """(token, k1, k2) for the first shingles of each set, in the order (frequency, hash)."""
+    """(token, k1, m) for the first shingles of each set, in the order (frequency, hash); m is the set's size, negative beyond early_length."""
     f = np.array([x[0] for x in frequent], np.int64).view(np.uint64)
     order = np.argsort(f)
     sent = docs.sparkSession.sparkContext.broadcast((f[order], np.array([x[1] for x in frequent], np.int64)[order]))
@@ -144,16 +152,16 @@ def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
         hashes, seen = _Hashes(), set()
         often, count = sent.value
         for batch in batches:
-            token, k1, k2, n = [], [], [], []
+            token, k1, m = [], [], []
             for t in texts(batch["text"]):
                 s = shingles(t, hashes)
-                data = s.tobytes()
-                key = (xxhash.xxh64_intdigest(data, 1), xxhash.xxh64_intdigest(data, 2))
+                key = xxhash.xxh64_intdigest(s.tobytes(), 1)
                 if not len(s) or key in seen:  # a copy says nothing new
                     continue
                 if len(seen) < 200_000:
                     seen.add(key)
-                p = prefix_length(len(s))
+                size = len(s)
+                p = prefix_length(size)
                 if len(often):
                     at = np.minimum(np.searchsorted(often, s), len(often) - 1)
                     hot = often[at] == s
@@ -162,38 +170,69 @@ def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
                         cold = np.concatenate([cold, s[hot][np.argsort(count[at[hot]], kind="stable")]])
                     s = cold
                 token.append(s[:p])
-                k1.append(key[0])
-                k2.append(key[1])
-                n.append(min(p, len(s)))
+                k1.append(np.full(p, key, np.uint64))
+                m.append(np.where(np.arange(p) < early_length(size), size, -size).astype(np.int32))
             if token:
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(token)), _signed(np.repeat(np.array(k1, np.uint64), n)), _signed(np.repeat(np.array(k2, np.uint64), n))], names=["token", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(token)), _signed(np.concatenate(k1)), pa.array(np.concatenate(m))], names=["token", "k1", "m"])
 
-    return map_batches(docs, run, "token long, k1 long, k2 long")
+    return map_batches(docs, run, "token long, k1 long, m int")
+
+
+class Chains:
+    """Parts rows (token, |m|, late, k1), in this order, into the chains of a token.
+
+    A row continues its token's chain if the last early row before it has at least PERCENT of its
+    size; else an early row begins one and a late row (m < 0) links with nothing. A chain's first
+    row is kept back until a second one comes; chains of one row are left out.
+    """
+
+    def __init__(self):
+        self.open = np.zeros((0, 3), np.int64)  # the last early row
+        self.sent, self.chain = False, 0  # whether it was put out; its chain
+        self.last = np.zeros((0, 3), np.int64)
+
+    def add(self, x: np.ndarray) -> np.ndarray:
+        """Rows (token, m, k1), repeated ones allowed; returns rows (token, chain, k1)."""
+        x = x[(np.diff(x, axis=0, prepend=self.last if len(self.last) else x[:1] - 1) != 0).any(1)]
+        if not len(x):
+            return x
+        self.last = x[-1:]
+        held = len(self.open)
+        x = np.concatenate([self.open, x])
+        token, m, n = x[:, 0], x[:, 1], np.abs(x[:, 1])
+        at = np.arange(len(x))
+        early = np.maximum.accumulate(np.where(m > 0, at, -1))
+        before = np.concatenate([[-1], early[:-1]])
+        linked = (before >= 0) & (token[before] == token) & (100 * n[before] >= PERCENT * n)
+        start = (m > 0) & ~linked
+        begun = np.maximum.accumulate(np.where(start, at, 0))
+        chain = n[begun]
+        if held:
+            chain = np.where(begun == 0, self.chain, chain)
+        keep = linked | (start & np.concatenate([linked[1:], [False]]))
+        if held and self.sent:
+            keep[0] = False
+        out = np.stack([token, chain, x[:, 2]], 1)[keep]
+        k = int(early[-1])
+        if k >= 0:
+            self.sent = bool(keep[k]) or (held > 0 and k == 0 and self.sent)
+            self.open, self.chain = x[k : k + 1], int(chain[k])
+        return out
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """The distinct rows whose token two classes have. Rows stream in order; one is kept back."""
+    """(token, chain, k1) of the chains with two rows or more. Rows stream in order; one is kept back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.zeros((0, 3), np.int64)  # the last row, if any
-        joined = False  # whether its token was that of the row before
+        chains = Chains()
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.concatenate([kept, np.stack([batch.column(c).to_numpy() for c in range(3)], 1)])
-            x = x[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])]
-            same = x[1:, 0] == x[:-1, 0]
-            before = np.concatenate([[joined and len(kept) > 0], same])
-            after = np.concatenate([same, [False]])
-            out = x[:-1][(before | after)[:-1]]
-            kept, joined = x[-1:], bool(before[-1])
-            if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(out[:, c]) for c in range(3)], names=["token", "k1", "k2"])
-        if joined and len(kept):
-            yield pa.RecordBatch.from_arrays([pa.array(kept[:, c]) for c in range(3)], names=["token", "k1", "k2"])
-
-    ordered = rows.repartition(F.col("token")).sortWithinPartitions("token", "k1", "k2")
-    return map_batches(ordered, run, "token long, k1 long, k2 long")
+            if len(batch):
+                out = chains.add(np.stack([batch[c].to_numpy().astype(np.int64) for c in ("token", "m", "k1")], 1))
+                if len(out):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1].astype(np.int32)), pa.array(out[:, 2])], names=["token", "chain", "k1"])
+
+    ordered = rows.repartition(F.col("token")).sortWithinPartitions("token", F.abs("m"), F.col("m") < 0, "k1")
+    return map_batches(ordered, run, "token long, chain int, k1 long")
 
 
 class Forest:
@@ -331,20 +370,20 @@ def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["a", "b"])
 
 
-def _in_blocks(rows: DataFrame, key: str, blocks: Column, own: Column) -> DataFrame:
+def _in_blocks(rows: DataFrame, keys: list[str], blocks: Column, own: Column) -> DataFrame:
     """Deals the rows of a key that has several blocks to every pair of its own block with another."""
     mine = F.when(blocks > 1, F.pmod(own, blocks)).otherwise(F.lit(0)).cast("int")
     out = rows.withColumn("__own", mine).withColumn("__other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     p, q = F.least("__own", "__other"), F.greatest("__own", "__other")
-    return out.select(key, p.alias("p"), q.alias("q"), (F.col("__own") > F.col("__other")).cast("int").alias("side"), *[c for c in rows.columns if c != key])
+    return out.select(*keys, p.alias("p"), q.alias("q"), (F.col("__own") > F.col("__other")).cast("int").alias("side"), *[c for c in rows.columns if c not in keys])
 
 
 def _candidates(members: DataFrame) -> DataFrame:
-    """Members (token, p, q, side, cid, n, sig): edges of classes that may be similar."""
+    """Members (token, chain, p, q, side, cid, n, sig): edges of classes that may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
-        for _, p, q, side, cid, n, sig in _units(batches, 3):
+        for _, _, p, q, side, cid, n, sig in _units(batches, 4):
             order = np.lexsort((cid, n))
             tree = SignatureTree(np.array(n)[order], [sig[k] for k in order])
             across = np.array(side)[order] if p[0] != q[0] else None
@@ -354,7 +393,8 @@ def _candidates(members: DataFrame) -> DataFrame:
                 out = []
         yield _edges(out)
 
-    return map_batches(members.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q"), run, EDGES)
+    keys = ["token", "chain", "p", "q"]
+    return map_batches(members.repartition(*keys).sortWithinPartitions(*keys), run, EDGES)
 
 
 def exact_links(ids: list[int], sets: list[np.ndarray], side: list[int] | None) -> list[tuple[int, int]]:
@@ -429,13 +469,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("cid"), F.count("*").alias("copies")), "classes")
 
     shared = written(_shared(_prefixes(rows, [(r[0], r[1]) for r in frequent])), "shared-prefixes")
-    groups = shared.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("k1").alias("x"), F.bit_xor(F.xxhash64("k1", "k2")).alias("y"))
-    groups = groups.groupBy("size", "x", "y").agg(F.min("token").alias("token"))
-    kept = join_hot(shared, groups.select("token", "size"), ["token"], "size", shared.count(), "inner")
+    groups = shared.groupBy("token", "chain").agg(F.count("*").alias("size"), F.bit_xor("k1").alias("x"), F.bit_xor(F.xxhash64("k1")).alias("y"))
+    groups = groups.groupBy("size", "x", "y").agg(F.min(F.struct("token", "chain")).alias("g")).select("g.*", "size")
+    kept = join_hot(shared, groups, ["token", "chain"], "size", shared.count(), "inner")
+    # k1 alone may stand for two classes; then both are members, and the exact sets tell them apart
     reps = sets.where("n > 0").select(F.col("id").alias("cid"), "k1", "k2", "sig").join(classes.select("cid", "k1", "k2", "n"), ["cid", "k1", "k2"]).dropDuplicates(["k1", "k2"])
-    members = kept.join(reps, ["k1", "k2"]).select("token", "cid", "n", "sig", "size")
+    members = kept.join(reps, "k1").select("token", "chain", "cid", "n", "sig", "size")
     blocks = F.ceil(F.col("size") / GROUP_UNIT)
-    members = _in_blocks(members, "token", blocks, F.xxhash64("cid")).select("token", "p", "q", "side", "cid", "n", "sig")
+    members = _in_blocks(members, ["token", "chain"], blocks, F.xxhash64("cid")).select("token", "chain", "p", "q", "side", "cid", "n", "sig")
     cut = lambda df: written(df, "components")
     blobs = connected_components(_candidates(members), cut)
 
@@ -443,7 +484,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = sizes.groupBy("root").agg(F.ceil(F.sum("n") / BLOB_UNIT).alias("blocks"), F.count("*").alias("size"))
     dealt = join_hot(blobs, total, ["root"], "size", max(1, blobs.count()))
     whole = rows.join(dealt.select(F.col("node").alias("id"), F.col("root").alias("blob"), "blocks"), "id").select("blob", "blocks", F.col("id").alias("cid"), "text")
-    found = _in_blocks(_exact_sets(whole), "blob", F.col("blocks"), F.xxhash64("cid")).select("blob", "p", "q", "side", "cid", "set")
+    found = _in_blocks(_exact_sets(whole), ["blob"], F.col("blocks"), F.xxhash64("cid")).select("blob", "p", "q", "side", "cid", "set")
     roots = connected_components(_verified(found), cut)
 
     keyed = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("k1", "k2", F.coalesce("root", "cid").alias("root"), "copies")

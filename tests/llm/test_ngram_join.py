@@ -97,3 +97,26 @@ def test_tree_loses_no_possible_pair():
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 assert forest.root(i) == forest.root(j)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_chains_hold_every_pair_that_a_shared_shingle_may_link(seed):
+    r = random.Random(seed)
+    rows = {(r.randrange(6), r.choice([1, 1, -1]) * r.choice([5, 6, 7, 9, 12, 20, 40, 41, 50]), k) for k in range(r.choice([3, 30, 90]))}
+    rows = sorted(rows, key=lambda x: (x[0], abs(x[1]), x[1] < 0, x[2]))
+    streamed = [x for x in rows for _ in range(r.choice([1, 1, 2]))]
+    chains, out = J.Chains(), []
+    while streamed:
+        cut = r.randint(1, 7)
+        out += chains.add(np.array(streamed[:cut], np.int64)).tolist()
+        streamed = streamed[cut:]
+    assert len({(t, k) for t, _, k in out}) == len(out)
+    of = {(t, k): c for t, c, k in out}
+    for t, m, k in rows:
+        for u, n, j in rows:
+            if t == u and k != j and 0 < m <= abs(n) and 100 * m >= 80 * abs(n):
+                assert of[t, k] == of[u, j]
+    members = {}
+    for t, c, _ in out:
+        members[t, c] = members.get((t, c), 0) + 1
+    assert all(v > 1 for v in members.values())

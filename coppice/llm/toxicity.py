@@ -25,7 +25,7 @@ class Settings:
     bits: int = 20
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 8.0
     l2: float = 0.1
     epochs: int = 6
     #: The fit uses at most so many labelled rows, spread by hash, and so many feature places.

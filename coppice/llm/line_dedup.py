@@ -2,7 +2,8 @@
 
 One HyperLogLog sketch of sites per line hash, merged by aggregation. Lines whose estimate is
 near the threshold get an exact count of their sites. Lines on at least ``min_sites`` sites are
-boilerplate and go from every document.
+boilerplate and go from every document. With ``min_texts`` they must also be in so many distinct
+texts, so copies of one text don't make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -25,24 +26,36 @@ def _hash(line: Column, name: str = "line") -> list[Column]:
     return [F.xxhash64(line).alias(f"{name}_a"), F.xxhash64(F.lit(7), line).alias(f"{name}_b")]
 
 
-def spread_lines(docs: DataFrame, min_sites: int, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Hashes of the non-blank lines on at least min_sites distinct sites (a null site is one), and their rows."""
+def spread_lines(docs: DataFrame, min_sites: int, site_col: str = "source", text_col: str = "text", min_texts: int = 1) -> DataFrame:
+    """Hashes of the non-blank lines on at least min_sites distinct sites (a null site is one) and in min_texts distinct texts, and their rows."""
     lines = docs.select(F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\0"))).alias("site"), F.explode(_lines(F.col(text_col))).alias("line")).where(F.col("line").rlike(r"\S"))
     seen = written(lines.select("site", *_hash(F.col("line"))).groupBy("line_a", "line_b", "site").agg(F.count("*").alias("n")), "line-sites")
     about = seen.groupBy("line_a", "line_b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).alias("sites"), F.sum("n").alias("n"))
     about = written(about.where(F.col("sites") >= min_sites * (1 - BAND) - 1), "line-spread")
     sure = F.col("sites") > min_sites * (1 + BAND) + 1
     exact = seen.drop("n").join(about.where(~sure), ["line_a", "line_b"]).groupBy("line_a", "line_b").agg(F.count("*").alias("sites"), F.max("n").alias("n"))
-    return about.where(sure).unionByName(exact.where(F.col("sites") >= min_sites))
+    spread = about.where(sure).unionByName(exact.where(F.col("sites") >= min_sites))
+    return _in_texts(docs, written(spread, "line-sites-spread"), min_texts, text_col) if min_texts > 1 else spread
 
 
-def remove_spread_lines(docs: DataFrame, min_sites: int = 5, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", length_col: str = "n_chars", counts: bool = False) -> DataFrame:
+def _in_texts(docs: DataFrame, spread: DataFrame, min_texts: int, text_col: str) -> DataFrame:
+    """The spread lines that are in at least min_texts distinct texts, counted exactly."""
+    keys = ["line_a", "line_b"]
+    total = spread.agg(F.sum("n")).first()[0] or 0
+    lines = docs.select(F.xxhash64(F.col(text_col)).alias("text"), F.explode(_lines(F.col(text_col))).alias("line")).where(F.col("line").rlike(r"\S"))
+    rows = join_hot(lines.select("text", *_hash(F.col("line"))), spread, keys, "n", total, "inner")
+    # each line's texts are dealt by line and text, so a line in most documents is not one task's
+    texts = rows.groupBy(*keys, "text").agg(F.lit(1).alias("one")).groupBy(*keys).agg(F.count("*").alias("texts"))
+    return spread.join(texts.where(F.col("texts") >= min_texts), keys, "left_semi")
+
+
+def remove_spread_lines(docs: DataFrame, min_sites: int = 5, site_col: str = "source", text_col: str = "text", id_col: str = "doc_id", length_col: str = "n_chars", counts: bool = False, min_texts: int = 1) -> DataFrame:
     """Documents without their boilerplate lines, in their own columns (``counts``: with n_lines and n_removed).
 
     Blank lines always stay. A text that loses no line stays as it is, null included; one that
     loses all is empty. Repeated rows lose the same lines; length_col (if there) follows.
     """
-    spread = written(spread_lines(docs, min_sites, site_col, text_col), "boilerplate")
+    spread = written(spread_lines(docs, min_sites, site_col, text_col, min_texts), "boilerplate")
     key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("__a"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("__b")]
     at = docs.select(*key, F.posexplode(_lines(F.col(text_col))).alias("__at", "__line")).where(F.col("__line").rlike(r"\S")).select("__a", "__b", "__at", *_hash(F.col("__line")))
     total = spread.agg(F.sum("n")).first()[0] or 0

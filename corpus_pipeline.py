@@ -15,8 +15,8 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on five sources or more go; every document stays."""
-    return line_dedup.remove_spread_lines(docs, min_sites=5)
+    """Lines on five sources or more and in five texts or more go (copies count as one text); every document stays."""
+    return line_dedup.remove_spread_lines(docs, min_sites=5, min_texts=5)
 
 
 def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

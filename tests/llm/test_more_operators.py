@@ -112,3 +112,14 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, at, path)
     assert 0.5 * docs.count() < n <= docs.count()
     assert pieces.select("doc_id").distinct().count() == n
+
+
+def test_pipeline_keeps_one_copy_of_a_text_on_many_sources(spark):
+    copied = "\n".join(f"passage {k} of the text that {k * 7919} sources took over whole {k * k}" for k in range(30))
+    rows = [(k, copied, f"s{k}") for k in range(6)] + [(10 + k, f"BOILER\nown words {k} " + " ".join(str(k * 1000 + i) for i in range(40)), f"s{k}") for k in range(6)]
+    lines = corpus_pipeline._lines(spark, frame(spark, rows), "")
+    got = {r["doc_id"]: r["text"] for r in lines.collect()}
+    assert all(got[k] == copied for k in range(6))
+    assert all(got[10 + k] == rows[6 + k][1].removeprefix("BOILER\n") for k in range(6))
+    left = [r["text"] for r in corpus_pipeline._near(spark, lines, "").collect()]
+    assert left.count(copied) == 1 and len(left) == 7

@@ -82,8 +82,9 @@ _ENDS = ".,;:!?)$&%*#"
 class WordIds(dict):
     """Word (no space or newline in it) -> its ids as little-endian 32-bit words.
 
-    ASCII words are looked up in lower case, which is how the tokenizer takes them, and letters
-    apart from the signs that end them, as its pre-tokens part there.
+    ASCII words are looked up in lower case, which is how the tokenizer takes them (not its special
+    strings like <|endoftext|>, which it finds in the raw text, so words with "<|" keep their case),
+    and letters apart from the signs that end them, as its pre-tokens part there.
     """
 
     def __init__(self, tokenizer):
@@ -91,7 +92,7 @@ class WordIds(dict):
         self.tokenizer = tokenizer
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word != (low := word.lower()):
+        if word.isascii() and word != (low := word.lower()) and "<|" not in word:
             return self[low]
         core = word.rstrip(_ENDS)
         if len(core) < len(word) and core.isalpha():

@@ -137,3 +137,10 @@ def test_toxicity_of_odd_rows(spark):
     kept = toxicity.without_toxic(docs, labels, 0.5, s)
     assert kept.columns == docs.columns and kept.count() == 24
     assert toxicity.without_toxic(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_special_strings_count_only_in_their_own_case():
+    library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    words = packing.WordIds(library)
+    for text in ["<|EndOfText|>", "<|STARTOFTEXT|>", "Ab<|EndOfText|>Cd", "<|endoftext|>", "A<|endoftext|>B", "X <|startoftext|>Y.", "A<|B", "HELLO World."]:
+        assert words.of(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids), text

@@ -10,14 +10,16 @@ SMALL, MEDIUM = 24, 80
 
 #: Marker term and the parts of node kinds that show it.
 MARKERS = [
-    ("control:branch", ("if_", "match_", "switch_", "case")),
-    ("control:loop", ("for_", "while_", "loop_")),
-    ("control:return", ("return_",)),
-    ("data:assignment", ("assignment_expression", "let_declaration", "variable_declar")),
-    ("data:literal", ("string_literal", "integer_literal", "array_expression")),
-    ("flow:call", ("call_expression",)),
-    ("flow:try", ("try_",)),
-    ("shape:closure", ("closure_", "arrow_function")),
+    ("control:if", ("if_expression", "if_statement")),
+    ("control:branch", ("match_expression", "switch_statement", "conditional_type")),
+    ("control:loop", ("for_expression", "while_expression", "loop_expression", "for_statement")),
+    ("data:binding", ("let_declaration", "lexical_declaration", "variable_declarator", "short_var_declaration")),
+    ("data:assignment", ("assignment_expression", "augmented_assignment_expression", "field_initializer")),
+    ("shape:closure", ("closure_expression", "arrow_function", "func_literal", "anonymous_function")),
+    ("shape:call", ("call_expression",)),
+    ("shape:member", ("field_expression", "member_expression", "selector_expression")),
+    ("flow:return", ("return_expression", "return_statement")),
+    ("flow:defer_or_try", ("try_expression", "await_expression")),
 ]
 
 

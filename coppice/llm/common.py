@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coppice.sources.stored import drop, written  # noqa: F401 (the operators take them from here)
+
 #: The bytes that make up a word (digits, lower-case letters and all of
 #: UTF-8 beyond ASCII); A-Z become a-z and every other byte a space.
 WORD_BYTES = bytes(
@@ -18,8 +18,8 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 
-#: Rows in an Arrow batch. A few very long texts then stay within a worker's memory.
-BATCH_ROWS = 256
+#: Bytes in an Arrow batch, beyond which it ends (one longer text is a batch of its own).
+BATCH_BYTES = 4 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -28,9 +28,11 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def small_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bounds Arrow batches by bytes. The plan reads the setting when it runs, so it stays lowered for the session."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def texts(column: pa.Array) -> list[bytes]:
@@ -54,28 +56,6 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only on one machine where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='coppice-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; null is empty."""
     text = F.coalesce(text, F.lit(""))
@@ -122,14 +102,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(spark: SparkSession, labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id") -> DataFrame:
-    """At most max_rows labelled ids outside the held-out quarter, spread by hash; small enough to broadcast."""
-    rows = (
-        labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
-        .select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__label"))
-        .dropDuplicates(["__id"])
-        .orderBy(F.xxhash64("__id"), "__id")
-        .limit(max_rows)
-        .collect()
-    )
-    return spark.createDataFrame([(r[0], r[1]) for r in rows], "__id long, __label int")
+def labelled_sample(labels: DataFrame, label: str, max_rows: int, id_col: str = "doc_id") -> DataFrame:
+    """(__id, __label, __turn) of at most max_rows labelled ids outside the held-out quarter, in order of a hash (__turn).
+
+    Small enough to broadcast. An id with both labels counts as 1; null ids and labels are left out.
+    """
+    rows = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
+    rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label).cast("int")).alias("__label"))
+    return rows.withColumn("__turn", F.xxhash64(F.col("__id").cast("string"))).orderBy("__turn", F.col("__id")).limit(max_rows)
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, id_col: str, text_col: str) -> DataFrame:
+    """(__id, __label, __turn, __text) of the labelled sample's documents; a null text is empty."""
+    rows = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return rows.join(F.broadcast(labelled_sample(labels, label, max_rows, id_col)), "__id").select("__id", "__label", "__turn", "__text")
+
+
+def fit_in_one_task(rows: DataFrame, order: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Trains in a single task, on rows that a sample bounds; so neither they nor the fit are in the driver."""
+    return map_batches(rows.repartition(1).sortWithinPartitions(*order), fn, schema)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_batches, texts, words_of
+from .common import fit_in_one_task, held_out, labelled_texts, map_batches, texts, words_of
 
 
 @dataclass(frozen=True)
@@ -28,9 +28,11 @@ class Settings:
     l1: float = 8.0
     l2: float = 0.1
     epochs: int = 6
-    #: The fit uses at most so many labelled rows, spread by hash, and so many feature places.
+    #: The fit uses at most so many labelled rows, spread by hash, and of a row with more distinct
+    #: places than max_places those of smallest mixed value: a sample of the whole text. (Learning
+    #: only; a score uses all places of the text.)
     max_rows: int = 6000
-    max_features: int = 20_000_000
+    max_places: int = 1 << 14
 
 
 class WordHashes(dict):
@@ -93,25 +95,48 @@ def sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
-    """Non-zero places, their weights and the bias. Without labelled rows all are 0."""
-    bits = settings.bits
-    sample = labelled_sample(docs.sparkSession, labels, label, settings.max_rows, id_col)
+def learnt_places(text: bytes, hashes: WordHashes, s: Settings) -> np.ndarray:
+    """A text's distinct places, at most max_places of them."""
+    at = np.unique(hashes.places(text, s.bits))
+    if len(at) > s.max_places:
+        mixed = at.astype(np.uint32) * np.uint32(0x9E3779B1)
+        at = np.sort(at[np.argpartition(mixed, s.max_places)[: s.max_places]])
+    return at
+
+
+Weights = tuple[np.ndarray, np.ndarray, float]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Weights:
+    """Non-zero places, their weights and the bias. Without labelled rows all are 0.
+
+    Texts become places where they are; one task learns from the bounded sample, in order of a hash
+    of the ids, and only the sparse weights reach the driver. Repeated rows are learnt each.
+    """
+    s = settings
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            at = [np.unique(hashes.places(t, bits)).tobytes() for t in texts(batch["__text"])]
-            yield pa.RecordBatch.from_arrays([batch["__id"], batch["__label"], pa.array(at, pa.binary())], names=["id", "label", "at"])
-
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample), "__id").select("__id", "__label", "__text")
-    seen, size = [], 0
-    for r in sorted(map_batches(rows, featured, "id long, label int, at binary").toLocalIterator(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0])):
-        if size <= settings.max_features:
-            seen.append((np.append(np.frombuffer(r[2], np.int32), 1 << bits), r[1]))
-            size += len(seen[-1][0])
-    model = FTRL(settings)
-    for _ in range(settings.epochs):
+            at = [learnt_places(t, hashes, s).tobytes() for t in texts(batch["__text"])]
+            yield pa.RecordBatch.from_arrays([batch["__turn"], batch["__label"], pa.array(at, pa.binary())], names=["turn", "label", "at"])
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = []
+        for batch in batches:
+            seen += [(np.append(np.frombuffer(d, np.int32), 1 << s.bits), y) for y, d in zip(batch["label"].to_pylist(), batch["at"].to_pylist(), strict=True)]
+        at, w, bias = trained(seen, s)
+        yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], names=["at", "w", "bias"])
+
+    rows = labelled_texts(docs, labels, label, s.max_rows, id_col, text_col)
+    sample = map_batches(rows, featured, "turn long, label int, at binary")
+    got = fit_in_one_task(sample, ["turn", "at"], learnt, "at binary, w binary, bias double").collect()
+    return (np.frombuffer(got[0][0], np.int32), np.frombuffer(got[0][1]), got[0][2]) if got else trained([], s)
+
+
+def trained(seen: list[tuple[np.ndarray, int]], s: Settings) -> Weights:
+    model = FTRL(s)
+    for _ in range(s.epochs):
         for at, y in seen:
             model.learn(at, y)
     return model.sparse()

@@ -8,7 +8,6 @@ length-weighted mean of its lines' forward-backward marginals, calibrated on the
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, labelled_sample, map_batches, texts
+from .common import fit_in_one_task, held_out, labelled_texts, map_batches, texts
 
 
 @dataclass(frozen=True)
 class Settings:
-    #: The fit uses at most so many labelled rows, spread by hash, of at most so many lines each.
+    #: The fit uses at most so many labelled rows, spread by hash; of a text with more than max_lines
+    #: lines it learns ``parts`` stretches of consecutive lines, spread evenly from its first line to its last.
     max_rows: int = 6000
     max_lines: int = 100
+    parts: int = 5
     rounds: int = 3
     steps: int = 120
     rate: float = 0.1
@@ -77,11 +78,12 @@ def line_features(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.concatenate([f, before, after, np.ones((len(ends), 1))], axis=1), size, lines
 
 
-def _padded(values: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mask = np.arange(lines.max())[None, :] < lines[:, None]
-    out = np.zeros(mask.shape)
-    out[mask] = values
-    return out, mask
+def learnt_lines(lines: int, s: Settings) -> list[np.ndarray]:
+    """Indices of the lines that are learnt of a text, a chain each: all, or evenly spread stretches."""
+    if lines <= s.max_lines:
+        return [np.arange(lines)]
+    each = s.max_lines // s.parts
+    return [np.arange(a, a + each) for a in np.linspace(0, lines - each, s.parts).astype(int)]
 
 
 def marginals(unary: np.ndarray, lines: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,20 +148,27 @@ class Model:
         return _sigmoid(self.scale * document_score(self.lines(x, lines), size, lines) + self.shift)
 
     def fit(self, rows: list[bytes], labels: list[int], s: Settings) -> "Model":
-        if not rows or len(set(labels)) < 2:
-            self.shift = 0.0 if not rows else 4.0 if labels[0] else -4.0
+        """Learns whole texts."""
+        x, size, lines = line_features(rows) if rows else (np.zeros((0, WIDTH)), np.zeros(0), np.zeros(0, int))
+        return self.learn(x, size, lines, np.arange(len(rows)), labels, s)
+
+    def learn(self, x: np.ndarray, size: np.ndarray, lines: np.ndarray, owner: np.ndarray, labels: list[int], s: Settings) -> "Model":
+        """x and size of all lines; the lines of each chain and the text (owner, ascending) that it is of; the texts' labels."""
+        if not len(labels) or len(set(labels)) < 2:
+            self.shift = 0.0 if not len(labels) else 4.0 if labels[0] else -4.0
             return self
-        x, size, lines = line_features(rows)
-        y = np.array(labels, float)
-        doc = np.repeat(np.arange(len(rows)), lines)
+        text_lines = np.bincount(owner, lines, len(labels)).astype(int)
+        texts_y, y = np.array(labels, float), np.array(labels, float)[owner]
+        doc = np.repeat(np.arange(len(lines)), lines)
         start = np.concatenate([[0], np.cumsum(lines)[:-1]])
+        first = np.concatenate([[0], np.cumsum(text_lines)[:-1]])
         inner = np.ones(len(doc), bool)
         inner[start] = False
         line = y[doc]
         for r in range(s.rounds):
             if r:
                 p = self.lines(x, lines)
-                worst = np.minimum.reduceat(p, start)[doc]
+                worst = np.repeat(np.minimum.reduceat(p, first), text_lines)
                 line = np.where(y[doc] == 1, 1.0, ((p > 0.5) & (p > worst)) * 1.0)
             seen = np.array([[np.sum((line[:-1] == a) & (line[1:] == b) & inner[1:]) for b in (0, 1)] for a in (0, 1)], float)
             m1, m2 = np.zeros(WIDTH + 4), np.zeros(WIDTH + 4)
@@ -169,23 +178,52 @@ class Model:
                 m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
                 step = s.rate * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
                 self.w, self.move = self.w - step[:WIDTH], self.move - step[WIDTH:].reshape(2, 2)
-        v = document_score(self.lines(x, lines), size, lines)
+        v = document_score(self.lines(x, lines), size, text_lines)
         a, b = 1.0, 0.0
         for _ in range(2000):
             p = _sigmoid(a * v + b)
-            a, b = a - 0.1 * (np.mean((p - y) * v) + 1e-3 * a), b - 0.1 * np.mean(p - y)
+            a, b = a - 0.1 * (np.mean((p - texts_y) * v) + 1e-3 * a), b - 0.1 * np.mean(p - texts_y)
         self.scale, self.shift = float(a), float(b)
         return self
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fits on a bounded sample (Settings); without labelled rows every score is that of one constant."""
-    sample = labelled_sample(docs.sparkSession, labels, label, settings.max_rows, id_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    few = F.size(F.split(F.col("__text"), "\n")) <= settings.max_lines
-    rows = docs.select(F.col(id_col).alias("__id"), text.alias("__text")).join(F.broadcast(sample), "__id").where(few & (F.char_length("__text") <= 2000 * settings.max_lines))
-    got = sorted(rows.select("__id", "__label", "__text").toLocalIterator(), key=lambda r: (zlib.crc32(b"%d" % r[0]), r[0]))
-    return Model().fit([r[2].encode() for r in got], [r[1] for r in got], settings)
+    """Fits on a bounded sample (Settings); without labelled rows every score is that of one constant.
+
+    Lines become features where the texts are, whole texts long ones included; one task learns from the
+    sample, and only the model reaches the driver.
+    """
+    s = settings
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, chains = [], []
+            for t in texts(batch["__text"]):
+                x, size, _ = line_features([t])
+                at = learnt_lines(len(size), s)
+                chains.append(",".join(str(len(a)) for a in at))
+                data.append(np.concatenate([x, size[:, None]], 1)[np.concatenate(at)].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch["__turn"], batch["__label"], pa.array(chains, pa.string()), pa.array(data, pa.binary())], names=["turn", "label", "chains", "data"])
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, lines, owner, y = [np.zeros((0, WIDTH + 1), np.float32)], [], [], []
+        for batch in batches:
+            for label, chains, d in zip(*(batch[c].to_pylist() for c in ("label", "chains", "data")), strict=True):
+                data.append(np.frombuffer(d, np.float32).reshape(-1, WIDTH + 1))
+                lines += (own := [int(n) for n in chains.split(",")])
+                owner += [len(y)] * len(own)
+                y.append(label)
+        rows = np.concatenate(data).astype(np.float64)
+        m = Model().learn(rows[:, :-1], rows[:, -1], np.array(lines, int), np.array(owner, int), y, s)
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([m.w, m.move.ravel(), [m.scale, m.shift]]).tobytes()])], names=["model"])
+
+    rows = labelled_texts(docs, labels, label, s.max_rows, id_col, text_col)
+    sample = map_batches(rows, featured, "turn long, label int, chains string, data binary")
+    got, m = fit_in_one_task(sample, ["turn", "data"], learnt, "model binary").collect(), Model()
+    if got:
+        v = np.frombuffer(got[0][0])
+        m.w, m.move, m.scale, m.shift = v[:WIDTH], v[WIDTH:-2].reshape(2, 2), float(v[-2]), float(v[-1])
+    return m
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,10 @@ own documents, so no row is shuffled.
 
 from __future__ import annotations
 
+import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,11 +19,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
-from .token_count import load
+from .common import map_batches
+from .token_count import BYTE_SIGNS, load
 
-#: Remainders that a task packs together; a full set is packed and the next one begun.
-PACK_ROWS = 200_000
+#: Remainders that a task packs together, whatever columns are asked for; a full set is packed and the next one begun.
+PACK_ROWS = 50_000
 
 
 class CapacityTree:
@@ -72,40 +75,86 @@ def best_fit(lengths: list[int], size: int) -> tuple[list[int], list[int], int]:
     return window, offset, n
 
 
-#: Words whose ids a worker keeps; it starts anew beyond that.
-KEPT_IDS = 600_000
+#: Pre-tokens and words whose ids a worker keeps; it starts anew beyond that.
+KEPT_IDS = 400_000
 
-#: Signs that are never of one pre-token with the letters before them.
-_ENDS = ".,;:!?)$&%*#"
+#: Characters on which lower-casing, composition and pre-tokens can't differ between libraries:
+#: Latin and Cyrillic letters without marks of their own, their signs, and dashes and quotes.
+PLAIN = re.compile("[\\x00-\u017f\u0400-\u0481\u048a-\u04ff\u2010-\u2027]*")
 
+#: The pre-tokens of word_bpe_49k for lower-cased plain text.
+PRE_TOKEN = re.compile(
+    "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f\u0400-\u0481\u048a-\u04ff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]"
+    "|[^\\t-\\r \x85\xa0a-z\xaa\xb5\xba\xdf-\xf6\xf8-\u017f\u0400-\u0481\u048a-\u04ff0-9\xb2\xb3\xb9\xbc-\xbe]+"
+)
 
-class WordIds(dict):
-    """Word (no space or newline in it) -> its ids as little-endian 32-bit words.
 
-    ASCII words are looked up in lower case, which is how the tokenizer takes them (not its special
-    strings like <|endoftext|>, which it finds in the raw text, so words with "<|" keep their case),
-    and letters apart from the signs that end them, as its pre-tokens part there.
+class PreTokenIds(dict):
+    """Lower-cased plain pre-token -> its ids as little-endian 32-bit words, from the library's merges alone."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= KEPT_IDS:
+            self.clear()
+        signs = part if part.isascii() else part.encode().decode("latin-1")
+        ids = array("I", [t.id for t in self.model.tokenize(signs.translate(BYTE_SIGNS))]).tobytes()
+        if len(part) < 100:
+            self[part] = ids
+        return ids
+
+
+class TextIds(dict):
+    """Ids of texts as little-endian 32-bit words; as a dict, those of words that aren't plain.
+
+    Plain text is lower-cased and parted as the tokenizer does, and each part goes through its merges. Words
+    that aren't plain go to the library, and so do those that hold one of its added strings in any case, since
+    it looks for them in the raw text. ``fast`` is off for a tokenizer that does something else (see agrees),
+    and then the library takes each text whole.
     """
 
     def __init__(self, tokenizer):
         super().__init__()
         self.tokenizer = tokenizer
+        self.added = [t.content.lower() for t in tokenizer.get_added_tokens_decoder().values()]
+        self.parts = PreTokenIds(tokenizer.model)
+        self.fast = all(" " not in a and "\n" not in a for a in self.added)
+        self.fast = self.fast and self.agrees()
+
+    def agrees(self) -> bool:
+        """Whether the parts give the library's ids on texts that hold every kind of pre-token."""
+        probes = ["It's We'LL they'Re I'd I'm you'VE can'T", "  two  spaces\n\nlines\r\n\ttab\x0b\x0c\x1c\x1f\x85\xa0.", "Σςσ e\u0301 日本語 x", "İstanbul \u2013 “q”… ЁЖ й"]
+        probes += ["".join(f"{chr(c)} a{chr(c)}b " for c in range(1, 0x180)), "".join(map(chr, range(33, 127))), "".join(map(chr, range(0x400, 0x482)))]
+        return all(self.of(p) == self.library(p) for p in [*probes, *(f"X{a.upper()}y{a}" for a in self.added)])
+
+    def library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def plain(self, text: str) -> bytes | None:
+        """The ids of plain text without added strings; None for other texts."""
+        if not (text.isascii() or PLAIN.fullmatch(text)):
+            return None
+        low = text.lower()
+        if any(a in low for a in self.added):
+            return None
+        return b"".join(map(self.parts.__getitem__, PRE_TOKEN.findall(low)))
 
     def __missing__(self, word: str) -> bytes:
-        if word.isascii() and word != (low := word.lower()) and "<|" not in word:
-            return self[low]
-        core = word.rstrip(_ENDS)
-        if len(core) < len(word) and core.isalpha():
-            return self[core] + self[word[len(core) :]]
         if len(self) >= KEPT_IDS:
             self.clear()
-        ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        ids = self.plain(word)
+        ids = self.library(word) if ids is None else ids
         if len(word) < 100:
             self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if not self.fast:
+            return self.library(text)
+        ids = self.plain(text)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if ids is None else ids
 
 
 SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -118,13 +167,16 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     doc_tokens, sequence_id, offset, and the ids themselves (little-endian) ``with_ids``. A
     document's ids are those of its text and then end_id; null and empty texts are end_id alone.
     Repeated rows are packed each; equal lengths keep the input's order; an empty table gives no
-    rows; other columns are ignored. The tokenizer must treat words between spaces and newlines
-    independently, as word_bpe_49k does. A sequence_id has the partition in its upper bits.
+    rows; other columns are ignored. Every PACK_ROWS remainders of a partition (at most
+    PACK_ROWS * size * 4 bytes, with_ids) are packed as a set, with ids or without. A tokenizer other than
+    word_bpe_49k gets the library's ids too, more slowly. A sequence_id has the partition in its upper bits.
     """
+    if sys.byteorder != "little":
+        raise ValueError("ids are written as this machine has them, which must be little-endian")
     last = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, base = WordIds(load(tokenizer_path)), TaskContext.get().partitionId() << 36
+        ids, base = TextIds(load(tokenizer_path)), TaskContext.get().partitionId() << 36
         kind = None
         rest: list[list] = []
 
@@ -145,22 +197,24 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
 
         names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
         for batch in batches:
-            kind, full = batch.schema.field(0).type, []
-            for doc, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                data = ids.of(text.decode()) + last
+            kind, full, sets = batch.schema.field(0).type, [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = ids.of(text or "") + last
                 n = len(data) // 4
+                whole = memoryview(data)
                 for at in range(0, n, size):
-                    piece = data[4 * at : 4 * (at + size)]
-                    row = [doc, at, len(piece) // 4, zlib.crc32(piece), n, 0, 0, *([piece] if with_ids else [])]
+                    piece = whole[4 * at : 4 * (at + size)]
+                    row = [doc, at, len(piece) // 4, zlib.crc32(piece), n, 0, 0, *([bytes(piece)] if with_ids else [])]
                     if row[2] == size:
                         row[5], base = base, base + 1
                         full.append(row)
                     else:
                         rest.append(row)
+                    if len(rest) == PACK_ROWS:
+                        sets += packed()
+            yield from sets
             if full:
                 yield batch_of(full)
-            if len(rest) >= PACK_ROWS // (8 if with_ids else 1):
-                yield from packed()
         if rest:
             yield from packed()
 

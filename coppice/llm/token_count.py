@@ -25,6 +25,16 @@ KEPT_WORDS = 300_000
 _UNSAFE = -(1 << 40)
 
 
+def _byte_signs() -> dict[int, int]:
+    """The byte-level step's sign for each byte: itself if it can be seen, else the next one from U+0100 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 def load(path: str):
     from tokenizers import Tokenizer
 
@@ -37,8 +47,8 @@ def load(path: str):
 def proven_tokens(tokenizer) -> frozenset[str]:
     """Vocabulary strings that encode alone as one token and are one pre-token."""
     pattern, found = regex.compile(PRE_TOKEN), set()
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    ids = [i for s, i in tokenizer.get_vocab().items() if s not in special]
+    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    ids = [i for s, i in tokenizer.get_vocab().items() if s not in added]
     strings = [s for s in (tokenizer.decode([i], skip_special_tokens=False) for i in ids) if s and "�" not in s]
     for s, e in zip(strings, tokenizer.encode_batch(strings, add_special_tokens=False), strict=True):
         m = pattern.match(s)
@@ -50,24 +60,33 @@ def proven_tokens(tokenizer) -> frozenset[str]:
 class Counter(dict):
     """Word, as it stands after a space -> its tokens with that space.
 
-    A word next to further white space is _UNSAFE: its pre-tokens depend on its neighbours.
+    A word next to further white space is _UNSAFE: its pre-tokens depend on its neighbours. ``fast`` is off for
+    a tokenizer whose pre-tokens are others (see agrees); the library then counts each text whole.
     """
 
     def __init__(self, tokenizer, proven: frozenset[str]):
         super().__init__()
         self.tokenizer, self.proven, self.pattern = tokenizer, proven, regex.compile(PRE_TOKEN)
-        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.merge = tokenizer.model.tokenize
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.fast = True
+        self.fast = self.agrees()
+
+    def agrees(self) -> bool:
+        """Whether counts are the library's on texts that hold every kind of pre-token."""
+        probes = ["It's We'LL they're I'd can't", "a1b22 C-3.50% (x) [Y]{z}", "  two  spaces\n\nlines\r\n\ttab\x00\x1c\x85\xa0 .", "naïve ÉCOLE Σςσ e\u0301 日本語 — “q” 😀", "".join(map(chr, range(1, 0x250)))]
+        return all(self.count(p) == self.library(p) for p in [*probes, *(f"X {a}y{a}" for a in self.added)])
+
+    def library(self, text: str) -> int:
+        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def merged(self, text: str) -> int:
-        if any(s in text for s in self.special):
-            return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        rest, n = [], 0
+        if any(s in text for s in self.added):
+            return self.library(text)
+        n = 0
         for t in self.pattern.findall(text):
-            if t in self.proven:
-                n += 1
-            else:
-                rest.append(t)
-        return n + sum(len(self.tokenizer.encode(t, add_special_tokens=False).ids) for t in rest)
+            n += 1 if t in self.proven else len(self.merge((t if t.isascii() else t.encode().decode("latin-1")).translate(BYTE_SIGNS)))
+        return n
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT_WORDS:
@@ -78,6 +97,8 @@ class Counter(dict):
         return n
 
     def count(self, text: str) -> int:
+        if not self.fast:
+            return self.library(text)
         first, *rest = text.split(" ")
         n = sum(map(self.__getitem__, rest))
         if n < 0 or (rest and (not first or first[-1].isspace())):

@@ -141,6 +141,6 @@ def test_toxicity_of_odd_rows(spark):
 
 def test_special_strings_count_only_in_their_own_case():
     library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    words = packing.WordIds(library)
+    words = packing.TextIds(library)
     for text in ["<|EndOfText|>", "<|STARTOFTEXT|>", "Ab<|EndOfText|>Cd", "<|endoftext|>", "A<|endoftext|>B", "X <|startoftext|>Y.", "A<|B", "HELLO World."]:
         assert words.of(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids), text

@@ -22,8 +22,11 @@ from .common import map_batches
 class Template:
     """Marks before and after each role's text, the roles whose text carries loss, and the turn order.
 
-    ``turns`` is the machine: state -> states that may follow; a role is a state. Roles without
-    marks of their own use ``other``, with the role's name between its first two strings.
+    ``turns`` is the machine: state -> states that may follow; a role is a state, and a conversation may
+    end in the states of ``final``. Roles without marks of their own use ``other``, with the role's name
+    between its first two strings. ``special`` are the characters that control strings begin or end with;
+    in texts and names each is followed by the escape sign, as is the escape sign itself. So no control
+    string of two characters or more, all of which begin with a special one, can stand in a text.
     """
 
     marks: dict[str, tuple[str, str]] = field(default_factory=lambda: {"system": ("<<SYS>>", "<</SYS>>"), "user": ("<s>[INST]", "[/INST]"), "assistant": ("<<ANS>>", "</s>")})
@@ -32,6 +35,12 @@ class Template:
     turns: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     final: frozenset[str] = frozenset({"assistant"})
     escape: str = "\\"
+    special: str = "<>[]"
+
+    def __post_init__(self):
+        for c in self.controls():
+            if len(c) < 2 or c[0] not in self.special or self.escape in c:
+                raise ValueError(f"a mark must have two characters or more and begin with one of {self.special}: {c!r}")
 
     def controls(self) -> list[str]:
         """Every control string, and the parts of which marks are made."""
@@ -42,19 +51,16 @@ class Template:
 class Formatter:
     def __init__(self, template: Template):
         self.t = template
-        self._escaped = re.compile(re.escape(template.escape) + "(.)", re.S)
+        one, e = re.escape(template.special + template.escape), re.escape(template.escape)
+        self._plain, self._escaped = re.compile(f"([{one}])"), re.compile(f"([{one}]){e}")
+        self._put = "\\1" + template.escape.replace("\\", "\\\\")
 
     def escape(self, text: str) -> str:
-        """Escape signs are doubled and one is put after the first character of each control string."""
-        e = self.t.escape
-        text = text.replace(e, e + e)
-        for c in self.t.controls():
-            if c in text:
-                text = text.replace(c, c[0] + e + c[1:]) if len(c) > 1 else text.replace(c, e + c)
-        return text
+        """Every special character and escape sign is followed by an escape sign."""
+        return self._plain.sub(self._put, text)
 
     def unescape(self, text: str) -> str:
-        return self._escaped.sub(lambda m: m[1], text)
+        return self._escaped.sub(r"\1", text)
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         if role in self.t.marks:
@@ -107,7 +113,10 @@ def segments(conversations: DataFrame, template: Template = Template(), id_col:
 
 
 def digests(formatted: DataFrame, template: Template = Template(), id_col: str = "conv_id") -> DataFrame:
-    """Reads segments() back, in the order they stand in: a row for each conversation."""
+    """Reads segments() back, in the order they stand in: a row for each conversation.
+
+    ``valid``: the machine accepts every turn, and the last one may end a conversation.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, last, state, kind = Formatter(template), None, None, None
@@ -115,7 +124,7 @@ def digests(formatted: DataFrame, template: Template = Template(), id_col: str =
 
         def close() -> None:
             if state:
-                done.append((last, state["n"], state["turns"].hexdigest(), state["lc"], state["loss"].hexdigest(), state["chars"], state["valid"]))
+                done.append((last, state["n"], state["turns"].hexdigest(), state["lc"], state["loss"].hexdigest(), state["chars"], state["valid"] and state["role"] in template.final))
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*done, strict=True)) or [[]] * 7
@@ -129,11 +138,11 @@ def digests(formatted: DataFrame, template: Template = Template(), id_col: str =
             for conv, seg, text, loss, ok in zip(*(batch.column(c).to_pylist() for c in (0, 2, 3, 4, 5)), strict=True):
                 if state is None or conv != last:
                     close()
-                    last, state = conv, {"n": 0, "turns": hashlib.sha256(), "lc": 0, "loss": hashlib.sha256(), "chars": 0, "valid": True}
+                    last, state = conv, {"n": 0, "turns": hashlib.sha256(), "lc": 0, "loss": hashlib.sha256(), "chars": 0, "valid": True, "role": None}
                 turn.append((text, loss))
                 if seg == 2:
                     role, said = f.read("".join(s for s, _ in turn))
-                    state["n"] += 1
+                    state["n"], state["role"] = state["n"] + 1, role
                     state["chars"] += sum(len(s) for s, _ in turn)
                     state["turns"].update(f"{role}\n{said}\n".encode())
                     for s, under in turn:
@@ -159,23 +168,20 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return digests(segments(rows.unionByName(more)))
 
 
-
 def op9_sql() -> str:
     t = Template()
-    escaped = f"replace(text, '{t.escape}', '{t.escape * 2}')"
-    for c in t.controls():
-        escaped = f"replace({escaped}, '{c}', '{c[0] + t.escape + c[1:]}')"
+    escaped = "length(text)" + "".join(f" + length(text) - length(replace(text, '{c}', ''))" for c in t.special + t.escape)
     known = " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b) in t.marks.items())
     return f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
-o AS (SELECT *, length({escaped}) + CASE role {known} END AS chars,
+o AS (SELECT *, {escaped} + CASE role {known} END AS chars,
   lag(role, 1, 'start') OVER w || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS ok
   FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(ok) AS valid
+  CAST(sum(chars) AS BIGINT) AS formatted_chars, bool_and(ok) AND last(role ORDER BY turn, role, text) = 'assistant' AS valid
 FROM o GROUP BY conv_id
 """

@@ -52,6 +52,6 @@ def test_cycle_supports_its_root(spark):
 
 def test_components(spark):
     e = spark.createDataFrame([(5, 4), (4, 9), (2, 2), (7, 8), (8, 6), (None, 1), (9, 5)], "a long, b long")
-    got = {r["node"]: r["root"] for r in components.connected_components(e, graph.stored).collect()}
+    got = {r["node"]: r["root"] for r in components.connected_components(e).collect()}
     assert got == {4: 4, 5: 4, 9: 4, 2: 2, 6: 6, 7: 6, 8: 6}
-    assert components.connected_components(e.limit(0), graph.stored).count() == 0
+    assert components.connected_components(e.limit(0)).count() == 0

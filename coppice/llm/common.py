@@ -71,7 +71,9 @@ def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], n: str, total:
     """rows LEFT (or LEFT-then-filtered) JOIN keyed, which has one row a key and a row count ``n`` for it.
 
     Keys with more than total/HOT_KEYS rows (so at most HOT_KEYS of them) are broadcast and
-    their rows leave the shuffled join, which then has no hot key. Key columns must not be null.
+    their rows leave the shuffled join. A key below that can still be more than a task should take;
+    such a partition is split by adaptive execution (the keyed side has one row for it, so any split
+    is right). Key columns must not be null.
     """
     least = max(total // HOT_KEYS, 1000)
     values = [c for c in keyed.columns if c not in keys]

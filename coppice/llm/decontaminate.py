@@ -8,7 +8,6 @@ item) is a hit.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -151,7 +150,8 @@ def find_spans(
     Returns id_col, the columns in ``keep``, n_words, n_hit, spans (of words, end exclusive),
     items (sorted as text), longest (match in words) and coverage, a row for each document.
     Null and empty texts have no words, so no hits; null or empty items match nothing; equal
-    items count each by id; rows that repeat are judged alike; other columns are ignored.
+    items count each by id; rows that repeat are judged alike; other columns are ignored. An empty
+    table of documents gives no rows; an empty benchmark, no hits. A text takes its words' memory, once a batch.
 
     Items are a query set: they pass the driver in blocks of at most ``block_words`` words, and
     each block is one broadcast and one pass over the documents.
@@ -202,10 +202,6 @@ def _scanner(automaton):
     return scan
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The text without the words of the spans and what stands between them."""
     at = [m.span() for m in _RUN.finditer(text.translate(WORD_BYTES))]
@@ -223,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     spans are cut out and length_col (if there) follows. Documents without a hit, null texts
     among them, stay as they are.
     """
-    found = find_spans(docs.withColumn("__all", F.struct(*docs.columns)), benchmark, window, "__all", text_col, keep=("__all",))
+    found = find_spans(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark, window, "__all", text_col, keep=("__all",))
     kept = found.where(F.col("coverage") <= max_coverage).select("__all", F.col(f"__all.`{text_col}`").alias("__text"), "spans")
     types = dict(kept.dtypes)
 

@@ -1,9 +1,11 @@
 """Exact deduplication by content-defined chunk recipes, in DataFrame operations only.
 
-A text is cut where its content says so (after a sentence end, 256 characters on or later; 4096
-at most). A chunk's 128-bit identifier is verified against the bytes of all chunks that carry
-it. Documents are then lists of identifiers, and equal lists are equal texts, so long texts do
-not move once their chunks are known.
+A text is cut where its content says so: 256 characters on or later, after a sentence end or after a
+pair of characters that CUTS holds (one in some hundred pairs), so text without sentences is cut by
+its content too; 4096 at most. A chunk's identifier is two 64-bit hashes, verified against the bytes of
+all chunks that carry it; of different chunks with the same hashes each gets a number of its own.
+Documents are then lists of identifiers, and equal lists are equal texts, so long texts do not
+move once their chunks are known.
 """
 
 from __future__ import annotations
@@ -13,23 +15,39 @@ from pyspark.sql import functions as F
 
 from .common import join_hot, lower_ascii, written
 
-CHUNK = r"(?s).{256,4094}?[.!?\n]\s|.{1,4096}"
+#: Pairs of characters after which a chunk may end, besides the ends of sentences.
+CUTS = "[qxz79][aeiou013]|[。！？、]"
+CHUNK = r"(?s).{256,4094}?(?:[.!?\n]\s|" + CUTS + r")|.{1,4096}"
 
 
 def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
 
 
-def identifier(chunk: Column) -> Column:
-    return F.struct(F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(7), chunk).alias("b"))
+def hashes(chunk: Column) -> list[Column]:
+    return [F.xxhash64(chunk).alias("a"), F.xxhash64(F.lit(7), chunk).alias("b")]
 
 
-def verify(docs: DataFrame, text_col: str) -> None:
-    """Stops if one identifier stands for two different chunks among all documents."""
-    parts = docs.select(F.explode(chunks(lower_ascii(F.col(text_col)))).alias("chunk")).select(identifier(F.col("chunk")).alias("id"), "chunk")
-    twice = parts.distinct().groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    if not twice.isEmpty():
-        raise ValueError("two chunks share a 128-bit identifier; change the second hash's seed")
+def collisions(docs: DataFrame, text_col: str) -> DataFrame | None:
+    """(a, b, chunk, nth) of the chunks that are not the only ones with their hashes, numbered from 0; None if there are none."""
+    parts = docs.select(F.explode(chunks(lower_ascii(F.col(text_col)))).alias("chunk")).distinct().select(*hashes(F.col("chunk")), "chunk")
+    twice = parts.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if twice.isEmpty():
+        return None
+    return written(parts.join(twice, ["a", "b"]).groupBy("a", "b").agg(F.array_sort(F.collect_list("chunk")).alias("all")).select("a", "b", F.posexplode("all").alias("nth", "chunk")), "chunk-collisions")
+
+
+def recipes(rows: DataFrame, twice: DataFrame | None) -> DataFrame:
+    """rows (__row, __chunks) with __recipe. Chunks whose hashes are not theirs alone are looked up one by one."""
+    plain = F.transform(F.col("__chunks"), lambda c: F.struct(*hashes(c), F.lit(0).alias("nth")))
+    if twice is None:
+        return rows.select("*", plain.alias("__recipe"))
+    rows = written(rows, "chunked")
+    parts = rows.select("__row", F.posexplode("__chunks").alias("at", "chunk")).select("__row", "at", *hashes(F.col("chunk")), "chunk")
+    odd = parts.join(twice, ["a", "b", "chunk"]).select("__row", F.struct("at", "nth").alias("odd"))
+    found = rows.select("*", plain.alias("__plain")).join(odd.groupBy("__row").agg(F.map_from_entries(F.collect_list("odd")).alias("__odd")), "__row", "left")
+    one = lambda c, i: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.coalesce(F.col("__odd")[i], F.lit(0)).alias("nth"))
+    return found.select("*", F.transform("__plain", one).alias("__recipe")).drop("__plain", "__odd")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -37,15 +55,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Equal means identical after lower-casing A-Z; null counts as empty. Of equal texts one row
     stays: that with the largest id (null ids come last); of repeated rows with that id, one.
-    An empty table gives no rows; other columns are ignored.
+    An empty table gives no rows; other columns are ignored. A very long text takes the memory of one row.
     """
-    verify(docs, text_col)
     text = lower_ascii(F.col(text_col))
+    twice = collisions(docs, text_col)
     rows = docs.select(
-        F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"),
-        F.transform(chunks(text), identifier).alias("__recipe"), F.sha2(text.cast("binary"), 256).alias("text_sha256"),
+        F.col(id_col).alias("__id"), F.monotonically_increasing_id().alias("__row"), chunks(text).alias("__chunks"), F.sha2(text.cast("binary"), 256).alias("text_sha256"),
     )
-    rows = written(rows, "recipes")
+    rows = written(recipes(rows, twice).drop("__chunks"), "recipes")
     groups = rows.groupBy("__recipe").agg(F.count("*").alias("group_size"), F.max(F.struct("__id", "__row")).alias("__best"))
     out = join_hot(rows, groups, ["__recipe"], "group_size", rows.count())
     return out.select(F.col("__id").alias(id_col), F.col("__best.__id").alias("keep_id"), "group_size", (F.col("__row") == F.col("__best.__row")).alias("kept"), "text_sha256")

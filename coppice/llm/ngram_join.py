@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from coppice.operators.components import connected_components
 
-from .common import join_hot, map_batches, texts, written
+from .common import drop, join_hot, map_batches, texts, written
 
 WORDS = 5
 #: A pair links when 100 * intersection >= PERCENT * union.
@@ -117,12 +117,13 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """A row (kind 0) for each document: id, n, two halves of its set's 128-bit key, signature; kind 1: a frequent shingle and its count."""
+    """A row (kind 0) for each document: id, row hashes, n, two halves of its set's 128-bit key, signature; kind 1: a frequent shingle and its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, frequent = _Hashes(), _Frequent()
-        names = ["kind", "id", "n", "k1", "k2", "sig"]
+        hashes, frequent, kind = _Hashes(), _Frequent(), None
+        names = ["kind", "id", "ra", "rb", "n", "k1", "k2", "sig"]
         for batch in batches:
+            kind = batch["id"].type
             n, k1, k2, sig = [], [], [], []
             for t in texts(batch["text"]):
                 s = shingles(t, hashes)
@@ -132,14 +133,16 @@ def _sets(docs: DataFrame) -> DataFrame:
                 k1.append(xxhash.xxh64_intdigest(data, 1))
                 k2.append(xxhash.xxh64_intdigest(data, 2))
                 sig.append(signature(s) if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch["id"], pa.array(n, pa.int64()), _signed(np.array(k1, np.uint64)), _signed(np.array(k2, np.uint64)), pa.array(sig, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), pa.int32()), batch["id"], batch["ra"], batch["rb"], pa.array(n, pa.int64()), _signed(np.array(k1, np.uint64)), _signed(np.array(k2, np.uint64)), pa.array(sig, pa.binary())], names=names)
+        if kind is None:
+            return
         frequent.flush()
         m = len(frequent.tokens)
         for a in range(0, m, 10_000):
             t, c = frequent.tokens[a : a + 10_000], frequent.counts[a : a + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), pa.int64()), pa.array(c), _signed(t), _signed(t), pa.nulls(len(t), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(t), pa.int32()), pa.nulls(len(t), kind), _signed(t), _signed(t), pa.array(c), _signed(t), _signed(t), pa.nulls(len(t), pa.binary())], names=names)
 
-    return map_batches(docs, run, "kind int, id long, n long, k1 long, k2 long, sig binary")
+    return map_batches(docs, run, f"kind int, id {dict(docs.dtypes)['id']}, ra long, rb long, n long, k1 long, k2 long, sig binary")
 
 
 def _prefixes(docs: DataFrame, frequent: list[tuple[int, int]]) -> DataFrame:
@@ -453,53 +456,71 @@ def _exact_sets(rows: DataFrame) -> DataFrame:
     return map_batches(rows, run, "blob long, blocks long, cid long, set binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For every row: id_col, n_shingles (distinct), component_id (smallest id that links reach).
+def _row(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes that tell rows apart; rows of equal id and text are repeated ones."""
+    return [F.xxhash64(F.col(id_col), F.col(text_col)).alias("ra"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("rb")]
 
-    Ids are whole numbers and should be unique: rows that share one are taken as linked. A null
-    id counts as a negative number made from the text. Null, empty and blank texts have no
-    shingles and link with nothing; repeated rows are in one component; an empty table gives no
-    rows; other columns are ignored.
-    """
-    own = F.coalesce(F.col(id_col).cast("long"), -F.abs(F.shiftright(F.xxhash64(F.col(text_col)), 2)) - 2)
-    rows = docs.select(own.alias("id"), F.col(text_col).alias("text"))
+
+def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, ra, rb, n, root, component) for every row; root numbers the component and is null without shingles."""
+    rows = docs.select(F.col(id_col).alias("id"), *_row(id_col, text_col), F.col(text_col).alias("text"))
     seen = written(_sets(rows), "shingle-sets")
     frequent = seen.where("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).where("n >= 4").orderBy(F.desc("n"), "k1").limit(FREQUENT).collect()
     sets = seen.where("kind = 0").drop("kind")
-    classes = written(sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("cid"), F.count("*").alias("copies")), "classes")
+    classes = sets.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("least"), F.min(F.struct("ra", "rb")).alias("rep"), F.count("*").alias("copies"))
+    classes = written(classes.select("k1", "k2", "n", "least", "rep.*", "copies", F.monotonically_increasing_id().alias("cid")), "classes")
 
     shared = written(_shared(_prefixes(rows, [(r[0], r[1]) for r in frequent])), "shared-prefixes")
     groups = shared.groupBy("token", "chain").agg(F.count("*").alias("size"), F.bit_xor("k1").alias("x"), F.bit_xor(F.xxhash64("k1")).alias("y"))
     groups = groups.groupBy("size", "x", "y").agg(F.min(F.struct("token", "chain")).alias("g")).select("g.*", "size")
     kept = join_hot(shared, groups, ["token", "chain"], "size", shared.count(), "inner")
     # k1 alone may stand for two classes; then both are members, and the exact sets tell them apart
-    reps = sets.where("n > 0").select(F.col("id").alias("cid"), "k1", "k2", "sig").join(classes.select("cid", "k1", "k2", "n"), ["cid", "k1", "k2"]).dropDuplicates(["k1", "k2"])
+    reps = sets.where("n > 0").select("ra", "rb", "k1", "k2", "sig").join(classes.select("cid", "ra", "rb", "k1", "k2", "n"), ["ra", "rb", "k1", "k2"]).dropDuplicates(["k1", "k2"])
     members = kept.join(reps, "k1").select("token", "chain", "cid", "n", "sig", "size")
     blocks = F.ceil(F.col("size") / GROUP_UNIT)
     members = _in_blocks(members, ["token", "chain"], blocks, F.xxhash64("cid")).select("token", "chain", "p", "q", "side", "cid", "n", "sig")
-    cut = lambda df: written(df, "components")
-    blobs = connected_components(_candidates(members), cut)
+    blobs = written(connected_components(_candidates(members)), "blobs")
+    drop(shared)
 
     sizes = blobs.join(classes.select(F.col("cid").alias("node"), "n"), "node")
     total = sizes.groupBy("root").agg(F.ceil(F.sum("n") / BLOB_UNIT).alias("blocks"), F.count("*").alias("size"))
     dealt = join_hot(blobs, total, ["root"], "size", max(1, blobs.count()))
-    whole = rows.join(dealt.select(F.col("node").alias("id"), F.col("root").alias("blob"), "blocks"), "id").select("blob", "blocks", F.col("id").alias("cid"), "text")
+    need = dealt.select(F.col("node").alias("cid"), F.col("root").alias("blob"), "blocks").join(classes.select("cid", "ra", "rb"), "cid")
+    whole = rows.drop("id").join(need, ["ra", "rb"]).dropDuplicates(["ra", "rb"]).select("blob", "blocks", "cid", "text")
     found = _in_blocks(_exact_sets(whole), ["blob"], F.col("blocks"), F.xxhash64("cid")).select("blob", "p", "q", "side", "cid", "set")
-    roots = connected_components(_verified(found), cut)
+    roots = connected_components(_verified(found))
+    drop(blobs)
+
+    keyed = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("k1", "k2", F.coalesce("root", "cid").alias("root"), "least", "copies")
+    least = keyed.groupBy("root").agg(F.min("least").alias("component"))
+    keyed = keyed.drop("least").join(least, "root").select("k1", "k2", "root", "component", "copies")
+    return join_hot(sets.select("id", "ra", "rb", "n", "k1", "k2"), keyed, ["k1", "k2"], "copies", max(1, sets.count()))
 
-    keyed = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("k1", "k2", F.coalesce("root", "cid").alias("root"), "copies")
-    final = join_hot(sets.select("id", "n", "k1", "k2"), keyed, ["k1", "k2"], "copies", max(1, sets.count()))
-    return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For every row: id_col, n_shingles (distinct), component_id (smallest id that links reach).
+
+    Ids may be of any type with an order, and null: a row without one takes part, and its component_id is that of
+    the others (null if none has an id). Rows that share an id but not the text are rows of their own.
+    Null, empty and blank texts have no shingles, link with nothing and have their own id; repeated rows are in
+    one component; an empty table gives no rows; other columns are ignored. A very long text takes
+    eight bytes a shingle where it is read and compared.
+    """
+    return _found(docs, id_col, text_col).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near duplicates: of each component the row with the smallest id stays.
 
-    Of repeated rows one stays; rows with a null id stay. Columns are those of docs.
+    Rows without shingles stay. Of repeated rows (equal id and text) one stays; rows that share an id but not the
+    text are judged each by its own text; a row with a null id stays only where no other of its component has
+    one. Columns are those of docs.
     """
-    found = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(stay, F.col(id_col) == F.col("__id"), "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = _found(docs, id_col, text_col)
+    best = found.where("n > 0").groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "ra", "rb")).alias("best"))
+    stay = best.select(F.col("best.ra").alias("__ra"), F.col("best.rb").alias("__rb")).unionByName(found.where("n = 0").select(F.col("ra").alias("__ra"), F.col("rb").alias("__rb")))
+    rows = docs.select("*", *[c.alias(f"__{k}") for c, k in zip(_row(id_col, text_col), ("ra", "rb"), strict=True)])
+    return rows.join(stay, ["__ra", "__rb"], "left_semi").dropDuplicates(["__ra", "__rb"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

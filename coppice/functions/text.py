@@ -98,6 +98,110 @@ def occurrences(text: Column, part: str) -> Column:
     return F.regexp_count(text, F.lit("".join("\\" + c if not c.isalnum() and c != "_" else c for c in part)))
 
 
+#: Folders and file-name ends of tests.
+TEST_FOLDERS = ("tests", "__tests__")
+TEST_ENDS = ("_test.go", "_test.rs", "_tests.rs", ".test.ts", ".test.tsx", ".spec.ts", ".spec.tsx")
+TEST_NAMES = ("tests.rs",)
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def is_test_path(path: Column) -> Column:
-    parts, base = F.split(path, "/"), F.element_at(F.split(path, "/"), -1)
-    return F.array_contains(parts, "tests") | F.array_contains(parts, "__tests__") | base.rlike(r"(^tests?\.rs$|_tests?\.(rs|go|py)$|^test_.*\.py$|\.(test|spec)\.tsx?$)")
+    """Paths whose items count for nothing in duplicates and patterns."""
+    base = base_name(path)
+    return F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, TEST_FOLDERS))) | base.isin(*TEST_NAMES) | _any([base.endswith(e) for e in TEST_ENDS])
+
+
+def language(path: Column) -> Column:
+    """Language by suffix; null for files without an item parser."""
+    ext = F.substring_index(path, ".", -1)
+    return F.when(ext == "rs", "rust").when(ext == "go", "go").when(ext.isin("ts", "tsx"), "typescript")
+
+
+def is_test_file(path: Column) -> Column:
+    """What a language takes for a test file; not the same as is_test_path."""
+    base, parts = base_name(path), F.split(path, "/")
+    rust = F.array_contains(parts, "tests") | (F.regexp_replace(base, r"(?<=.)\.[^.]*$", "") == "tests")
+    script = F.array_contains(parts, "tests") | _any([base.endswith(e) for e in TEST_ENDS if e.endswith((".ts", ".tsx"))])
+    return F.when(language(path) == "rust", rust).when(language(path) == "go", base.endswith("_test.go")).when(language(path) == "typescript", script).otherwise(F.lit(False))
+
+
+def is_review_surface(path: Column, public: Column, name: Column, kind: Column) -> Column:
+    return ~is_test_file(path) & (public | ((name == "main") & (kind == "function")))
+
+
+def longest_suffix(paths: Column, path: Column) -> Column:
+    """The path itself if it is among ``paths`` (an array), else the one path that shares the longest run of last components, else the path unchanged."""
+    own = F.reverse(F.split(path, "/"))
+    run = lambda p: F.aggregate(
+        F.zip_with(F.reverse(F.split(p, "/")), own, lambda a, b: F.coalesce(a == b, F.lit(False))),
+        F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")),
+        lambda s, same: F.struct((s["n"] + F.when(s["on"] & same, 1).otherwise(0)).alias("n"), (s["on"] & same).alias("on")),
+    )["n"]
+    # a suffix must be the whole of the shorter path
+    fits = F.filter(paths, lambda p: run(p) >= F.least(F.size(F.split(p, "/")), F.size(F.split(path, "/"))))
+    best = F.array_max(F.transform(fits, run))
+    at = F.filter(fits, lambda p: run(p) == best)
+    return F.when(F.array_contains(paths, path), path).when(F.size(at) == 1, F.get(at, 0)).otherwise(path)
+
+
+def owned_lines(text: Column) -> Column:
+    return F.greatest(F.size(lines(text)), F.lit(1))
+
+
+def import_alias(alias: Column, target: Column) -> Column:
+    """An import's name: its alias, else the last part of its path; null for blank and dot imports."""
+    name = F.coalesce(alias, F.element_at(F.split(target, "/"), -1))
+    return F.when(~name.isin("_", "."), name)
+
+
+#: Terms that say nothing, and markers that tell patterns apart.
+NOISE = ("shape:call", "shape:member", "data:binding", "size:small", "size:medium")
+DISCRIMINATORS = ("control:branch", "control:loop", "shape:closure", "flow:defer_or_try")
+
+
+def is_noise(term: Column) -> Column:
+    return term.isin(*NOISE)
+
+
+def is_discriminator(term: Column) -> Column:
+    return term.startswith("call:") | term.startswith("invoke:") | term.startswith("name:") | term.isin(*DISCRIMINATORS)
+
+
+def call_names(calls: Column) -> Column:
+    """qualifier::name, or the name alone, of an array of calls."""
+    return F.transform(calls, lambda c: F.when(c["qualifier"].isNotNull(), F.concat(c["qualifier"], F.lit("::"), c["name"])).otherwise(c["name"]))
+
+
+def match_terms(shape: Column, nodes: Column, name: Column, calls: Column, invocations: Column) -> Column:
+    """Sorted distinct marker, name, call and invocation terms of an item."""
+    tag = lambda t, xs: F.transform(xs, lambda x: F.concat(F.lit(t), x))
+    return F.array_sort(F.array_distinct(F.concat(marker_terms(F.array_join(shape, ">"), nodes), tag("name:", name_terms(name)), tag("call:", call_names(calls)), tag("invoke:", invocations))))
+
+
+#: The least shape and score of items that can be duplicates, and the node kinds that score.
+DUPLICATE_NODES, DUPLICATE_SCORE = 24, 4
+LOOPS = ("for_expression", "while_expression", "loop_expression", "for_statement")
+BRANCHES = ("if_expression", "match_expression", "conditional_type", "switch_statement", "if_statement")
+BINDINGS = ("let_declaration", "lexical_declaration", "variable_declarator", "short_var_declaration", "assignment_expression", "augmented_assignment_expression")
+CLOSURES = ("closure_expression", "arrow_function", "func_literal", "anonymous_function")
+
+
+def _count(fingerprint: Column, kinds: tuple[str, ...]) -> Column:
+    out = F.lit(0)
+    for k in kinds:
+        out = out + occurrences(fingerprint, k)
+    return out
+
+
+def substantive_score(shape: Column, calls: Column, invocations: Column) -> Column:
+    """Calls and invocations, one more if a call isn't a plain name, and each place a scoring kind stands in the fingerprint."""
+    odd = F.exists(calls, lambda c: c["qualifier"].isNotNull() | (c["syntax"] != "identifier")).cast("int")
+    return F.size(calls) + F.size(invocations) + odd + _count(F.array_join(shape, ">"), BRANCHES + LOOPS + BINDINGS + CLOSURES)
+
+
+def is_substantive(shape: Column, nodes: Column, calls: Column, invocations: Column) -> Column:
+    stateful = _count(F.array_join(shape, ">"), LOOPS + BINDINGS + CLOSURES) > 0
+    return (nodes >= DUPLICATE_NODES) & (substantive_score(shape, calls, invocations) >= DUPLICATE_SCORE) & stateful

@@ -140,12 +140,12 @@ def module_resolution(spark, sf):
 
 
 BRAND_SQL = """l AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 48),
-be AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM l a JOIN l b USING (l_orderkey) WHERE a.p_brand <> b.p_brand AND a.p_brand < b.p_brand)"""
+be AS (SELECT DISTINCT a.p_brand AS src, b.p_brand AS dst FROM l a JOIN l b USING (l_orderkey) WHERE a.p_brand <> b.p_brand)"""
 
 
 def _brand_edges(spark, sf):
     x = _t(spark, sf, "lineitem").where("l_quantity >= 48").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand").distinct()
-    return x.select("l_orderkey", F.col("p_brand").alias("src")).join(x.select("l_orderkey", F.col("p_brand").alias("dst")), "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    return x.select("l_orderkey", F.col("p_brand").alias("src")).join(x.select("l_orderkey", F.col("p_brand").alias("dst")), "l_orderkey").where("src <> dst").select("src", "dst").distinct()
 
 
 @query(f"""WITH {BRAND_SQL}, n AS (SELECT DISTINCT p_brand AS module FROM part), o AS (SELECT src, count(*) AS c FROM be GROUP BY 1), i AS (SELECT dst, count(*) AS c FROM be GROUP BY 1)
@@ -247,19 +247,19 @@ def unreached_items(spark, sf):
     return nodes.join(G.reachable(e, nodes.where("node % 25 = 0")), "node", "left_anti")
 
 
-@query(f"""WITH RECURSIVE {E_SQL}, d AS (SELECT * FROM e WHERE caller < callee), c(node, label) AS (SELECT DISTINCT caller, caller FROM d WHERE caller % 10 = 0 UNION SELECT d.callee, c.label FROM c JOIN d ON d.caller = c.node)
+@query(f"""WITH RECURSIVE {E_SQL}, c(node, label) AS (SELECT DISTINCT caller, caller FROM e WHERE caller % 10 = 0 UNION SELECT e.callee, c.label FROM c JOIN e ON e.caller = c.node)
 SELECT node, min(label) AS label FROM c GROUP BY node""")
 def label_propagation(spark, sf):
-    e = _edges(spark, sf).where("caller < callee")
+    e = _edges(spark, sf)
     return G.propagate_labels(e, e.where("caller % 10 = 0").select(F.col("caller").alias("node"), F.col("caller").alias("label")))
 
 
-BIP_SQL = """b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49 AND l_orderkey % 3 = 0),
+BIP_SQL = """b AS (SELECT DISTINCT l_orderkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 49),
 be AS (SELECT DISTINCT x.l_orderkey AS caller, y.l_orderkey AS callee FROM b x JOIN b y USING (p_brand) WHERE x.l_orderkey <> y.l_orderkey)"""
 
 
 def _members(spark, sf):
-    return _t(spark, sf, "lineitem").where("l_quantity >= 49 AND l_orderkey % 3 = 0").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand").distinct()
+    return _t(spark, sf, "lineitem").where("l_quantity >= 49").join(_t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand").distinct()
 
 
 def _scoped(spark, sf, hops):
@@ -316,16 +316,6 @@ def duplicate_items(spark, sf):
     return R.duplicates(_t(spark, sf, "documents"), [F.xxhash64("text"), F.xxhash64(F.lit(1), "text"), F.length("text")]).select("doc_id", "source", "peer_count")
 
 
-def _occ_sql(part):
-    return f"CAST((length(text) - length(replace(text, '{part}', ''))) / {len(part)} AS BIGINT)"
-
-
-@query(f"SELECT doc_id, {_occ_sql('the')} + {_occ_sql('ing')} * 2 AS score, {_occ_sql('the')} + {_occ_sql('ing')} * 2 >= 4 AS substantive FROM documents WHERE text IS NOT NULL")
-def substantive_score(spark, sf):
-    s = (T.occurrences(F.col("text"), "the") + T.occurrences(F.col("text"), "ing") * 2).cast("long")
-    return _t(spark, sf, "documents").where("text IS NOT NULL").select("doc_id", s.alias("score"), (s >= 4).alias("substantive"))
-
-
 @query(r"""SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(p_name || 'CamelCase', '([^ ])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 3))), ',') AS terms FROM part""")
 def name_terms(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", F.array_join(T.name_terms(F.concat("p_name", F.lit("CamelCase"))), ",").alias("terms"))
@@ -354,74 +344,18 @@ def _overlaps(sets):
 
 
 @query(f"""WITH {SETS_SQL} SELECT x.id AS a, y.id AS b, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) * 1000) / 1000 AS similarity
-FROM s x JOIN s y ON x.id < y.id WHERE len(list_intersect(x.t, y.t)) > 0 AND x.id % 10 = y.id % 10""")
+FROM s x JOIN s y ON x.id < y.id WHERE len(list_intersect(x.t, y.t)) > 0""")
 def jaccard_pairs(spark, sf):
     sets = _sets(spark, sf)
-    return _overlaps(sets).where("a % 10 = b % 10").select("a", "b", T.round3(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
-
-
-@query(f"""WITH {SETS_SQL}, p AS (SELECT x.id % 10 AS module, 0.94 * len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) + 0.06 * least(len(x.t), len(y.t)) / greatest(len(x.t), len(y.t)) AS s
-FROM s x JOIN s y ON x.id < y.id AND x.id % 10 = y.id % 10 WHERE len(list_intersect(x.t, y.t)) > 0)
-SELECT module, count(*) AS pairs, round(avg(s) * 1000) / 1000 AS mean, round(min(s) * 1000) / 1000 AS least, round(max(s) * 1000) / 1000 AS most FROM p GROUP BY 1""")
-def pair_similarity_summary(spark, sf):
-    p = _overlaps(_sets(spark, sf)).where("a % 10 = b % 10")
-    s = 0.94 * F.col("both") / (F.col("na") + F.col("nb") - F.col("both")) + 0.06 * F.least("na", "nb") / F.greatest("na", "nb")
-    return p.groupBy((F.col("a") % 10).alias("module")).agg(F.count("*").alias("pairs"), T.round3(F.avg(s)).alias("mean"), T.round3(F.min(s)).alias("least"), T.round3(F.max(s)).alias("most"))
-
-
-PROF_SQL = """terms AS (SELECT DISTINCT p_brand AS pattern, p_partkey AS item, unnest(string_split(p_name || ' ' || p_type, ' ')) AS term FROM part),
-n AS (SELECT pattern, count(DISTINCT item) AS n FROM terms GROUP BY 1), f AS (SELECT pattern, term, count(*) AS c FROM terms GROUP BY 1, 2),
-req AS (SELECT f.pattern, f.term FROM f JOIN n USING (pattern) WHERE n >= 2 AND c >= ceil(n * 0.2))"""
-
-
-def _terms(spark, sf):
-    return _t(spark, sf, "part").select(F.col("p_brand").alias("pattern"), F.col("p_partkey").alias("item"), F.explode(F.split(F.concat_ws(" ", "p_name", "p_type"), " ")).alias("term")).distinct()
-
-
-def profile(terms: DataFrame, ratio: float) -> DataFrame:
-    """Terms that at least ``ratio`` of a pattern's items have; patterns of one item have no profile."""
-    n = terms.groupBy("pattern").agg(F.countDistinct("item").alias("n"))
-    return terms.groupBy("pattern", "term").agg(F.count("*").alias("c")).join(n, "pattern").where((F.col("n") >= 2) & (F.col("c") >= F.ceil(F.col("n") * ratio)))
-
-
-@query(f"WITH {PROF_SQL} SELECT pattern, count(*) AS required, string_agg(term, ',' ORDER BY term) AS terms FROM req GROUP BY 1")
-def pattern_profile(spark, sf):
-    return profile(_terms(spark, sf), 0.2).groupBy("pattern").agg(F.count("*").alias("required"), F.array_join(F.array_sort(F.collect_set("term")), ",").alias("terms"))
-
-
-@query(f"""WITH {PROF_SQL}, q AS (SELECT pattern, count(*) AS k FROM req GROUP BY 1), it AS (SELECT DISTINCT item, pattern AS own, term FROM terms)
-SELECT q.pattern, it.item, round(count(*) / k * 1000) / 1000 AS score FROM req JOIN it ON it.term = req.term AND it.own <> req.pattern JOIN q ON q.pattern = req.pattern
-GROUP BY q.pattern, it.item, k HAVING count(*) / k >= 0.5 ORDER BY score DESC, pattern, item LIMIT 20""")
-def missing_applications_topk(spark, sf):
-    terms = _terms(spark, sf)
-    need = profile(terms, 0.2).select(F.col("pattern").alias("p"), "term")
-    k = need.groupBy("p").agg(F.count("*").alias("k"))
-    hits = need.join(terms, "term").where("p <> pattern").groupBy("p", "item").agg(F.count("*").alias("c")).join(k, "p")
-    return hits.where(F.col("c") / F.col("k") >= 0.5).select(F.col("p").alias("pattern"), "item", T.round3(F.col("c") / F.col("k")).alias("score")).orderBy(F.desc("score"), "pattern", "item").limit(20)
-
-
-@query("""WITH g AS (SELECT p_type || '|' || p_size AS signature, count(*) AS item_count, round(avg(p_retailprice) * 1000) / 1000 AS score, min(p_partkey) AS first_item FROM part GROUP BY 1 HAVING count(*) >= 2 AND bool_or(p_partkey % 2 = 0))
-SELECT * FROM g ORDER BY item_count DESC, score DESC, first_item, signature LIMIT 20""")
-def clusters_topk(spark, sf):
-    g = _t(spark, sf, "part").groupBy(F.concat_ws("|", "p_type", "p_size").alias("signature")).agg(F.count("*").alias("item_count"), T.round3(F.avg("p_retailprice")).alias("score"), F.min("p_partkey").alias("first_item"), F.bool_or(F.col("p_partkey") % 2 == 0).alias("target"))
-    return g.where("item_count >= 2 AND target").drop("target").orderBy(F.desc("item_count"), F.desc("score"), "first_item", "signature").limit(20)
-
-
-LADDER = [(0.88, "duplicate_like"), (0.70, "above"), (0.40, "expected"), (0.05, "below")]
-
-
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount * 10 >= 0.88 THEN 'duplicate_like' WHEN l_discount * 10 >= 0.70 THEN 'above' WHEN l_discount * 10 >= 0.40 THEN 'expected' WHEN l_discount * 10 >= 0.05 THEN 'below' ELSE 'diffuse' END AS benchmark FROM lineitem WHERE l_orderkey % 7 = 0")
-def benchmark_estimate(spark, sf):
-    s = F.col("l_discount") * 10
-    return _t(spark, sf, "lineitem").where("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber", R.waterfall(*[(s >= v, name) for v, name in LADDER], otherwise="diffuse").alias("benchmark"))
+    return _overlaps(sets).select("a", "b", T.round3(F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
 
 
-@query("""WITH sp AS (SELECT p_brand AS path, p_partkey AS span, p_partkey % 50 AS lo, p_partkey % 50 + p_size % 6 AS hi FROM part WHERE p_size > 40), r AS (SELECT p_brand AS path, p_partkey AS ref, p_size AS line FROM part)
+@query("""WITH sp AS (SELECT p_brand AS path, p_partkey AS span, p_partkey % 50 AS lo, p_partkey % 50 + p_size % 6 AS hi FROM part), r AS (SELECT p_brand AS path, p_partkey AS ref, p_size AS line FROM part)
 SELECT ref, min(span) AS span FROM r JOIN sp USING (path) WHERE line BETWEEN lo AND hi GROUP BY ref HAVING count(*) = 1""")
 def span_containment(spark, sf):
     p = _t(spark, sf, "part")
     k = F.col("p_partkey")
-    spans = p.where("p_size > 40").select(F.col("p_brand").alias("path"), k.alias("span"), (k % 50).alias("lo"), (k % 50 + F.col("p_size") % 6).alias("hi"))
+    spans = p.select(F.col("p_brand").alias("path"), k.alias("span"), (k % 50).alias("lo"), (k % 50 + F.col("p_size") % 6).alias("hi"))
     return R.span_containment(p.select(F.col("p_brand").alias("path"), k.alias("ref"), F.col("p_size").alias("line")), spans, "path", "line", "lo", "hi", "span", "ref")
 
 

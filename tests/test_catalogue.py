@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 from coppice.operators import components, graph
-from coppice.plans import catalogue
+from coppice.plans import all_queries as catalogue
 
 
 def norm(v):

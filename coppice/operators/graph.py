@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coppice.sources.stored import drop, written
+
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a table in spark.checkpoint.dir, which ends their lineage."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own(spark)
-    path = f"{base.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _own(spark: SparkSession) -> str:
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='coppice-')}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+stored = written
 
 
 def closure(edges: DataFrame, seeds: DataFrame, reflexive: bool = False, max_hops: int | None = None, caller: str = "caller", callee: str = "callee", root: str = "root") -> DataFrame:

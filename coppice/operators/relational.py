@@ -13,9 +13,15 @@ def grouped_count(df: DataFrame, value: Column) -> DataFrame:
 
 
 def first_declaration(df: DataFrame, id: str, order: list[Column]) -> DataFrame:
-    """The first row of each id."""
-    w = Window.partitionBy(id).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first row of each id, by an aggregate that begins where the rows are, so a hot id isn't one task's."""
+    best = df.groupBy(F.col(id).alias("__id")).agg(F.min(F.struct(*[o.alias(f"__o{k}") for k, o in enumerate(order)], F.struct(*[F.col(c) for c in df.columns]).alias("__row"))).alias("__best"))
+    return best.select("__best.__row.*")
+
+
+def first_by(df: DataFrame, id: str, order: str) -> DataFrame:
+    """The row of each id with the least ``order``."""
+    rest = [c for c in df.columns if c != id]
+    return df.groupBy(id).agg(F.min_by(F.struct(*rest), F.col(order)).alias("__row")).select(id, "__row.*")
 
 
 def previous_declaration(df: DataFrame, id: str, order: list[Column], what: str) -> DataFrame:
@@ -94,8 +100,14 @@ def span_containment(refs: DataFrame, spans: DataFrame, path: str, line: str, st
 
 
 def duplicates(items: DataFrame, key: list[Column]) -> DataFrame:
-    """Members of groups with equal keys, with peer_count; groups are counted before the join back."""
-    names = [f"__k{i}" for i in range(len(key))]
-    keyed = items.select("*", *[k.alias(n) for k, n in zip(key, names, strict=True)])
+    """Members of groups with equal keys, with peer_count; groups are counted before the join back.
+
+    Null parts of a key are equal to each other. A group of many members is split by adaptive execution, as the
+    groups' side of the join has one row for it.
+    """
+    names = [f"__k{i}" for i in range(2 * len(key))]
+    # a part and whether it is null, so that the join is an equi-join without nulls
+    parts = [c for k in key for c in (F.coalesce(k.cast("string"), F.lit("")), k.isNull())]
+    keyed = items.select("*", *[k.alias(n) for k, n in zip(parts, names, strict=True)])
     groups = keyed.groupBy(*names).agg((F.count("*") - 1).alias("peer_count")).where("peer_count > 0")
     return keyed.join(groups, names).drop(*names)

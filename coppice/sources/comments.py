@@ -5,11 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: The reserved tags.
-TAGS = "spec|group|planned|deprecated|verifies|fileverifies|attests|fileattests|module|area|implements|fileimplements|pattern|strictness|applies|fileapplies".split("|")
+TAGS = (
+    "spec", "group", "planned", "deprecated", "verifies", "fileverifies", "attests", "fileattests",
+    "module", "area", "implements", "fileimplements", "pattern", "strictness", "applies", "fileapplies",
+)
 TAG = re.compile(r"\s*@(?:" + "|".join(TAGS) + r")(?!\S)")
 SCHEMA = "path string, block_no int, line int, text string, owned_line int, owned_body string"
 
@@ -100,11 +103,12 @@ def blocks_of(path: str, text: str | None) -> list[tuple]:
 def comment_blocks(files: DataFrame) -> DataFrame:
     """One row a line of the comment blocks that hold a reserved tag, from (path, text)."""
     names = [c.split()[0] for c in SCHEMA.split(", ")]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, text in zip(b["path"], b["text"], strict=True):
+            for path, text in zip(b["path"].to_pylist(), b["text"].to_pylist(), strict=True):
                 if rows := blocks_of(path, text):
-                    yield pd.DataFrame(rows, columns=names).astype({"owned_line": "Int32"})
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return files.where("path IS NOT NULL").select("path", "text").mapInPandas(run, SCHEMA)
+    return files.where("path IS NOT NULL").select("path", "text").mapInArrow(run, SCHEMA)

@@ -11,38 +11,69 @@ from coppice.sources.stored import drop, written
 stored = written
 
 
+#: Hops that one round takes, tables of found rows that are kept apart, and edges up to which each task gets them all.
+HOPS, PARTS, SMALL = 4, 6, 200_000
+
+
+def _spread(edges: DataFrame, frontier: DataFrame, keys: list[str], max_hops: int | None = None, begin: DataFrame | None = None) -> DataFrame:
+    """Rows (keys with node) that edges (__from, node) lead to from the frontier, in one hop or more; with those of ``begin``.
+
+    A round takes several hops, so few rounds write a table: what one finds goes on from where its last hop ended.
+    Earlier finds are one anti-join; their tables are merged when there are many.
+    """
+    small = edges.limit(SMALL + 1).count() <= SMALL
+    e = F.broadcast(edges) if small else edges
+    cols = [*keys, "node"]
+    parts, frontier, done = ([] if begin is None else [begin]), frontier.select(*cols), 0
+    while True:
+        hops = HOPS if max_hops is None else min(HOPS, max_hops - done)
+        if hops <= 0:
+            break
+        step, found = frontier, None
+        for k in range(hops):
+            step = step.withColumnRenamed("node", "__from").join(e, "__from").select(*cols).distinct()
+            one = step.withColumn("__hop", F.lit(k))
+            found = one if found is None else found.unionByName(one)
+        new = found.groupBy(*cols).agg(F.min("__hop").alias("__hop"))
+        for p in parts:
+            new = new.join(p.select(*cols), cols, "left_anti")
+        new = written(new, "graph")
+        if new.isEmpty():
+            break
+        parts.append(new)
+        done += hops
+        frontier = new.where(F.col("__hop") == hops - 1).select(*cols)
+        if len(parts) > PARTS:
+            whole = written(_all(parts, cols), "graph")
+            drop(*parts[1 if begin is not None else 0 : -1])
+            parts = [whole]
+            begin = whole
+    return _all(parts, cols) if parts else frontier.limit(0)
+
+
+def _all(parts: list[DataFrame], cols: list[str]) -> DataFrame:
+    out = parts[0].select(*cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(*cols))
+    return out
+
+
 def closure(edges: DataFrame, seeds: DataFrame, reflexive: bool = False, max_hops: int | None = None, caller: str = "caller", callee: str = "callee", root: str = "root") -> DataFrame:
     """(root, node) for every node that a path of at least one edge leads to from a seed.
 
-    ``reflexive`` adds (root, root). Semi-naive: each round joins only the pairs that the last
-    one found, and the pairs found so far are left out by an anti-join.
+    ``reflexive`` adds (root, root). Cycles end, as only pairs that are new go on; null ends are left out.
     """
     e = stored(edges.select(F.col(caller).alias("__from"), F.col(callee).alias("node")).where("__from IS NOT NULL AND node IS NOT NULL").distinct())
-    start = seeds.select(F.col(root).alias("root")).distinct()
-    seen = None
-    frontier = stored(start.join(e, start["root"] == e["__from"]).select("root", "node").distinct())
-    hops = 1
-    while not frontier.isEmpty():
-        seen = frontier if seen is None else seen.unionByName(frontier)
-        if max_hops is not None and hops >= max_hops:
-            break
-        step = frontier.withColumnRenamed("node", "__at").join(e, F.col("__at") == F.col("__from")).select("root", "node").distinct()
-        frontier = stored(step.join(seen, ["root", "node"], "left_anti"))
-        hops += 1
-    out = seen if seen is not None else frontier
+    start = seeds.select(F.col(root).alias("root")).where("root IS NOT NULL").distinct()
+    out = _spread(e, start.withColumn("node", F.col("root")), ["root"], max_hops)
     return out.unionByName(start.select("root", F.col("root").alias("node"))).distinct() if reflexive else out
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, caller: str = "caller", callee: str = "callee", node: str = "node") -> DataFrame:
     """Nodes that some seed reaches, seeds included."""
-    e = stored(edges.select(F.col(caller).alias("__from"), F.col(callee).alias("node")).distinct())
-    frontier = stored(seeds.select(F.col(node).alias("node")).distinct())
-    seen = frontier
-    while not frontier.isEmpty():
-        step = frontier.withColumnRenamed("node", "__from").join(e, "__from").select("node").distinct()
-        frontier = stored(step.join(seen, "node", "left_anti"))
-        seen = seen.unionByName(frontier)
-    return seen
+    e = stored(edges.select(F.col(caller).alias("__from"), F.col(callee).alias("node")).where("__from IS NOT NULL AND node IS NOT NULL").distinct())
+    start = stored(seeds.select(F.col(node).alias("node")).distinct())
+    return _spread(e, start, [], None, start)
 
 
 def reverse_closure(edges: DataFrame, targets: DataFrame, caller: str = "caller", callee: str = "callee", node: str = "node") -> DataFrame:
@@ -68,12 +99,21 @@ def projected_kernel(edges: DataFrame, roots: DataFrame, projected: DataFrame, c
 
 
 def propagate_labels(edges: DataFrame, seeds: DataFrame, caller: str = "caller", callee: str = "callee") -> DataFrame:
-    """(node, label): the smallest label of a seed that reaches the node, in rounds until nothing changes."""
-    e = stored(edges.select(F.col(caller).alias("__from"), F.col(callee).alias("__to")).distinct())
+    """(node, label): the smallest label of a seed that reaches the node, in rounds until nothing changes.
+
+    Only labels that fell go on to the next round.
+    """
+    e = stored(edges.select(F.col(caller).alias("__from"), F.col(callee).alias("__to")).where("__from IS NOT NULL AND __to IS NOT NULL").distinct())
+    e = F.broadcast(e) if e.limit(SMALL + 1).count() <= SMALL else e
     best = stored(seeds.groupBy("node").agg(F.min("label").alias("label")))
+    fell = best
     while True:
-        step = best.join(e, F.col("node") == F.col("__from")).select(F.col("__to").alias("node"), "label")
-        new = stored(best.unionByName(step).groupBy("node").agg(F.min("label").alias("label")))
-        if new.join(best, ["node", "label"], "left_anti").isEmpty():
-            return new
-        best = new
+        step = fell
+        for _ in range(HOPS):
+            step = step.unionByName(step.join(e, F.col("node") == F.col("__from")).select(F.col("__to").alias("node"), "label")).groupBy("node").agg(F.min("label").alias("label"))
+        both = best.select("node", "label", F.lit(False).alias("new")).unionByName(step.select("node", "label", F.lit(True).alias("new")))
+        now = both.groupBy("node").agg(F.min("label").alias("label"), F.min(F.when(~F.col("new"), F.col("label"))).alias("before"))
+        now = stored(now.select("node", "label", (F.col("before").isNull() | (F.col("label") < F.col("before"))).alias("fell")))
+        fell, best = now.where("fell").select("node", "label"), now.select("node", "label")
+        if fell.isEmpty():
+            return best

@@ -8,6 +8,7 @@ components and line: source before prose for claims, prose before source for arc
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 
 from coppice.functions import annotations as A
 from coppice.functions import text as T
+from coppice.operators import calls as C
+from coppice.operators import health as H
 from coppice.operators import patterns as P
 from coppice.operators import relational as R
+from coppice.sources import syntax
 from coppice.sources.comments import comment_blocks
 from coppice.sources.prose import prose_sections
 from coppice.sources.stored import written
@@ -71,8 +75,9 @@ def _state(state: str, planned: Column) -> Column:
 
 
 class Repository:
-    def __init__(self, files: DataFrame, dialect: int = 1, benchmarks: P.Benchmarks = P.Benchmarks()):
-        self.files, self.dialect, self.benchmarks = files, dialect, benchmarks
+    def __init__(self, files: DataFrame, dialect: int = 1, benchmarks: P.Benchmarks = P.Benchmarks(), ignore_unexplained: Sequence[str] = (), crate_names: Sequence[str] = (), package: str | None = None):
+        self.files, self.dialect, self.benchmarks, self.ignore_unexplained = files, dialect, benchmarks, ignore_unexplained
+        self.crate_names, self.package = [n.replace("-", "_") for n in crate_names], package
 
     @cached_property
     def lines(self) -> DataFrame:
@@ -118,6 +123,67 @@ class Repository:
     def applications(self) -> DataFrame:
         return _ordered(A.applications(self.source, self.files), True)
 
+    @cached_property
+    def items(self) -> DataFrame:
+        return written(syntax.items(self.files.where("kind = 'source'")), "items")
+
+    @cached_property
+    def imports(self) -> DataFrame:
+        return written(syntax.file_imports(self.files.where("kind = 'source'")), "imports")
+
+    def edges(self, semantic: DataFrame | None = None) -> DataFrame:
+        """Calls between items; ``semantic`` (caller, callee) adds what a language server or compiler found."""
+        return written(C.edges(self.items, self.imports, self.crate_names, self.package, semantic), "edges")
+
+    def supports(self) -> DataFrame:
+        return H.supports(self.verifies, self.spec_decls, self.items)
+
+    def health(self, semantic: DataFrame | None = None, mediated: DataFrame | None = None) -> DataFrame:
+        """Items with their evidence, category and module standing; see operators/health.py for what is made of them."""
+        return H.traced(self.items, self.edges(semantic), self.supports(), H.ownership(self.implements), self.ignore_unexplained, mediated)
+
+    def owned_items(self) -> DataFrame:
+        return H.owned(self.implements, self.items)
+
+    def duplicates(self) -> DataFrame:
+        return H.duplicates(self.owned_items())
+
+    def unowned(self) -> DataFrame:
+        return H.unowned(self.items, self.implements)
+
+    def coupling(self, root: str = "") -> DataFrame:
+        return H.module_coupling(self.module_decls, self.implements, C.import_files(self.imports, self.files, root))
+
+    def module_analysis(self) -> DataFrame:
+        return H.module_summary(self.owned_items(), self.implements, self.files)
+
+    def applied_features(self) -> DataFrame:
+        """Applications with the features of the largest item in what they mark."""
+        a = self.applications.select("pattern_id", F.col("path").alias("__p"), F.col("line").alias("app_line"), "body_line", "ord", (F.col("body_line") + T.owned_lines(F.col("body")) - 1).alias("__hi"))
+        hit = a.join(self.items, (F.col("path") == F.col("__p")) & (F.col("body_line").isNull() | F.col("start_line").between(F.col("body_line"), F.col("__hi"))))
+        of = hit.groupBy("pattern_id", "__p", "app_line").agg(F.max_by(F.struct(*self.items.columns, "ord"), F.struct("nodes", -F.col("start_line"))).alias("i"))
+        return P.features(of.select("pattern_id", "i.*"))
+
+    def _candidates(self) -> DataFrame:
+        rows = self.items.where(~F.col("is_test") & ~T.is_test_path(F.col("path"))).withColumn("line", F.col("start_line"))
+        return P.features(rows.withColumn("ord", F.struct(T.path_key(F.col("path")).alias("parts"), "line")))
+
+    def _annotated(self) -> DataFrame:
+        return self.applications.select("pattern_id", "path", F.col("body_line").alias("line"))
+
+    def pattern_similarity(self) -> DataFrame:
+        return P.similarity_summary(self.applied_features(), self.pattern_decls, self.benchmarks)
+
+    def missing_applications(self, target: str | None = None) -> DataFrame:
+        first = R.first_by(self.pattern_decls, "pattern_id", "ord")
+        rows = self._candidates()
+        rows = rows if target is None else rows.where(T.in_scope(F.col("path"), target, "/"))
+        return P.missing_applications(P.profiles(self.applied_features(), first, self.benchmarks), rows, self._annotated())
+
+    def pattern_clusters(self, target: str | None = None) -> DataFrame:
+        rows = self._candidates()
+        return P.clusters(rows, rows if target is None else rows.where(T.in_scope(F.col("path"), target, "/")), self._annotated())
+
     def specs(self, state: str = "all", unverified: bool = False, scope: str | None = None) -> DataFrame:
         """Visible claims and the groups and claims above them, with their supports counted."""
         first = R.first_by(self.spec_decls, "id", "ord")
@@ -239,8 +305,9 @@ class Repository:
         u = self.specs("current", unverified=True).agg(F.count_if("unverified").alias("unverified_specs"))
         m = self.module_decls.agg(F.count_if(F.col("kind") == "module").alias("total_modules"), F.count_if(F.col("kind") == "area").alias("total_areas"))
         n = self.modules("current", unimplemented=True).agg(F.count_if("unimplemented").alias("unimplemented_modules"))
+        h = self.duplicates().agg(F.count("*").alias("duplicate_items")).crossJoin(self.unowned().agg(F.count("*").alias("unowned_items")))
         rows = None
-        for section, df in (("lint", d), ("specs", s), ("specs", u), ("arch", m), ("arch", n)):
+        for section, df in (("lint", d), ("specs", s), ("specs", u), ("arch", m), ("arch", n), ("health", h)):
             part = df.select(F.explode(F.array(*[F.struct(F.lit(section).alias("section"), F.lit(c).alias("name"), F.col(c).cast("long").alias("count")) for c in df.columns])).alias("x")).select("x.*")
             rows = part if rows is None else rows.unionByName(part)
         return rows

@@ -117,8 +117,15 @@ def files(spark: SparkSession, tree: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(p, p.rsplit(".", 1)[-1], "markdown" if p.endswith(".md") else "source", t) for p, t in tree.items()], "path string, ext string, kind string, text string")
 
 
-def repository(spark: SparkSession, tree: dict[str, str], dialect: int = 1) -> Repository:
-    return Repository(files(spark, tree), dialect)
+_KEPT: dict[tuple, Repository] = {}
+
+
+def repository(spark: SparkSession, tree: dict[str, str], dialect: int = 1, **options) -> Repository:
+    """One repository for each tree and session, so its files are parsed once for all queries."""
+    key = (spark.sparkContext.applicationId, *tree, dialect, str(options))
+    if key not in _KEPT:
+        _KEPT[key] = Repository(files(spark, tree), dialect, **options)
+    return _KEPT[key]
 
 
 def values(columns: str, *rows: tuple) -> str:
@@ -267,6 +274,7 @@ def patterns_metrics(spark, sf):
 @query(values(
     "section VARCHAR, name VARCHAR, count BIGINT", ("lint", "errors", 5), ("lint", "warnings", 0), ("specs", "total_specs", 5), ("specs", "planned_specs", 1), ("specs", "deprecated_specs", 1), ("specs", "unverified_specs", 1),
     ("arch", "total_modules", 3), ("arch", "total_areas", 1), ("arch", "unimplemented_modules", 0),
+    ("health", "duplicate_items", 0), ("health", "unowned_items", 4),
 ))
 def overview(spark, sf):
     return repository(spark, DEMO).overview()

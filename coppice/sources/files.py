@@ -123,6 +123,16 @@ def hidden_files(spark: SparkSession, root: str) -> tuple[list[str], list[str]]:
     return sorted(ignores), sorted(sources)
 
 
+def _content(spark: SparkSession, path: str) -> bytes:
+    """The bytes of one small file, through the store's own reader."""
+    fs, at = _qualified(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
 def read_files(spark: SparkSession, root: str, ignore: Sequence[str] = (), vcs: bool = True) -> DataFrame:
     """(path, ext, kind, text, valid) of source and prose files below root; paths are relative to it.
 
@@ -136,9 +146,13 @@ def read_files(spark: SparkSession, root: str, ignore: Sequence[str] = (), vcs:
     rules = []
     if vcs:
         lists, hidden = hidden_files(spark, root)
-        if hidden:
-            raw = raw.unionByName(spark.read.format("binaryFile").load(hidden)).dropDuplicates(["path"])
-        texts = {r["path"]: bytes(r["content"]).decode("utf-8", "replace") for r in spark.read.format("binaryFile").load(lists).collect()} if lists else {}
+        plain = [p for p in hidden if not p.rpartition("/")[2].startswith((".", "_"))]
+        raw = raw.select("path", "content")
+        if plain:
+            raw = raw.unionByName(spark.read.format("binaryFile").load(plain).select("path", "content")).dropDuplicates(["path"])
+        if odd := [(p, bytearray(_content(spark, p))) for p in hidden if p not in set(plain)]:  # Spark reads no file of such a name
+            raw = raw.unionByName(spark.createDataFrame(odd, "path string, content binary"))
+        texts = {p: _content(spark, p).decode("utf-8", "replace") for p in lists}
         # outer ignore files first, so that inner ones decide
         for full in sorted(lists, key=lambda p: (p.count("/"), p)):
             rules += vcs_rules(full[len(base) :].rpartition("/")[0], texts.get(full, ""))

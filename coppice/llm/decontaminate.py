@@ -160,8 +160,7 @@ def find_spans(
     rows = benchmark.where(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text_col))
     columns = list(dict.fromkeys([id_col, *keep]))
     out = docs.select(*columns, F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("longest"))
-    types = dict(out.dtypes)
-    schema = ", ".join(f"`{c}` {types[c]}" for c in out.columns)
+    schema = out.schema
     items = ((r[0], r[1].encode()) for r in rows.toLocalIterator())
     for k, block in enumerate(_blocks(items, block_words)):
         if k:  # so that one automaton is in a worker's memory at a time
@@ -221,7 +220,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     """
     found = find_spans(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark, window, "__all", text_col, keep=("__all",))
     kept = found.where(F.col("coverage") <= max_coverage).select("__all", F.col(f"__all.`{text_col}`").alias("__text"), "spans")
-    types = dict(kept.dtypes)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +229,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
                     new[k] = cut(batch["__text"][k].as_py().encode(), [(x["start"], x["end"]) for x in s]).decode()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2)], schema=pa.schema([batch.schema.field(0), pa.field("__text", pa.string()), batch.schema.field(2)]))
 
-    out = map_batches(kept, clean, f"__all {types['__all']}, __text string, spans {types['spans']}")
+    out = map_batches(kept, clean, kept.schema)
     hit = F.size("spans") > 0
     return out.select(*[
         F.when(hit, F.col("__text")).otherwise(F.col(f"__all.`{c}`")).alias(c) if c == text_col

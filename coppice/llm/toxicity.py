@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import fit_in_one_task, held_out, labelled_texts, map_batches, texts, words_of
 
@@ -156,15 +157,15 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], settings
         table[sent.value[0]] = sent.value[1]
         for batch in batches:
             out = []
-            for t in texts(batch[text_col if keep else "__text"]):
+            for t in texts(batch["__text"]):
                 p = hashes.places(t, bits)
                 out.append(sigmoid(float(table[np.unique(p[table[p] != 0])].sum(dtype=np.float64)) + sent.value[2]))
-            names = batch.schema.names if keep else [id_col]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (range(len(names)) if keep else [0])], pa.array(out, pa.float64())], names=[*names, name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["__kept", name])
 
-    rows = docs if keep else docs.select(id_col, F.col(text_col).alias("__text"))
-    kept = rows.dtypes if keep else rows.dtypes[:1]
-    return map_batches(rows, run, ", ".join(f"`{c}` {t}" for c, t in kept) + f", `{name}` double")
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if keep else F.col(id_col)
+    rows = docs.select(kept.alias("__kept"), F.col(text_col).alias("__text"))
+    scored = map_batches(rows, run, StructType([rows.schema.fields[0], StructField(name, DoubleType())]))
+    return scored.select("__kept.*", name) if keep else scored.withColumnRenamed("__kept", id_col)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -115,7 +115,8 @@ def ruled(rows: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
         own = table.where(F.size(F.split("__host", r"\.")) == d).select(F.col("__host").alias(f"__h{d}"), F.col("__own").alias(f"__o{d}"))
         rows = rows.join(own, F.when(F.size(labels) >= d, F.array_join(F.slice(labels, F.size(labels) - d + 1, d), ".")) == F.col(f"__h{d}"), "left")
         good = F.filter(F.coalesce(F.col(f"__o{d}"), F.array().cast("array<struct<size:int,path:string,verdict:string>>")), lambda r: F.col("path").startswith(r["path"]))
-        fits.append(F.transform(good, lambda r, d=d: F.struct(r["size"].alias("size"), F.concat(F.col(f"__h{d}"), r["path"]).alias("rule"), r["verdict"].alias("verdict"))))
+        own_host = F.col(f"__h{d}")
+        fits.append(F.transform(good, lambda r: F.struct(r["size"].alias("size"), F.concat(own_host, r["path"]).alias("rule"), r["verdict"].alias("verdict"))))
     best = F.array_max(F.concat(*fits))
     return rows.withColumn("__best", best).select("*", F.col("__best.rule").alias("rule"), F.col("__best.verdict").alias("verdict")).drop("__best", *[f"__{x}{d}" for d in depths for x in "ho"])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +26,35 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+#: Tables that each open scratch() has seen written.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that are written inside, but for those that kept() takes out, once all that reads them has run."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        drop(*_OPEN.pop())
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """The table, which the scratch() around leaves alone."""
+    if _OPEN:
+        _OPEN[-1][:] = [t for t in _OPEN[-1] if t is not table]
+    return table
+
+
 def written(df: DataFrame, name: str = "stored") -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._coppice_path = path
+    if _OPEN:
+        _OPEN[-1].append(out)
     return out
 
 

@@ -233,3 +233,32 @@ def architecture_metrics(summary: DataFrame) -> DataFrame:
 def ranking(summary: DataFrame, value: str) -> DataFrame:
     """(value, count) of the modules that have any of it."""
     return summary.where(F.col(value) > 0).select(F.col("module_id").alias("value"), F.col(value).cast("long").alias("count")).orderBy("value")
+
+
+def repo_metrics(traced: DataFrame, duplicates: DataFrame, unowned: DataFrame) -> DataFrame:
+    """(metric, value, count): items of each bucket, duplicates and unowned items, in all (value null) and by file."""
+    one = lambda df, name: df.agg(F.count("*").alias("count")).select(F.lit(name).alias("metric"), F.lit(None).cast("string").alias("value"), "count")
+    by_file = lambda df, name: df.groupBy("path").agg(F.count("*").alias("count")).select(F.lit(name + "_by_file").alias("metric"), F.col("path").alias("value"), "count")
+    u = traced.where("category = 'unexplained' AND NOT hidden")
+    out = one(traced, "analyzed_items")
+    for name, df in (("duplicate_items", duplicates), ("unowned_items", unowned), ("unexplained_items", u), ("unexplained_review_surface_items", u.where("review_surface"))):
+        out = out.unionByName(one(df, name)).unionByName(by_file(df, name))
+    for bucket in ("current", "mediated", "unverified_test"):
+        out = out.unionByName(one(traced.where(F.col("category") == bucket), f"{bucket}_items"))
+    return out
+
+
+def unreached_by_name(items: DataFrame, group: str) -> DataFrame:
+    """Items that no root of their group reaches by name: a call leads to a name, and the first item of a name goes on from there."""
+    key = lambda c: F.concat_ws("\0", group, c)
+    first = items.groupBy(group, "name").agg(F.min_by("calls", F.struct("path", "start_line")).alias("calls"))
+    led = first.select(key("name").alias("caller"), F.explode("calls").alias("c"), group).select("caller", key("c.name").alias("callee"))
+    known = items.select(key("name").alias("callee")).distinct()
+    roots = items.where("root_visible OR is_test OR (name = 'main' AND kind = 'function')").select(key("name").alias("node"))
+    reached = G.reachable(led.join(known, "callee", "left_semi"), roots)
+    return items.where("NOT root_visible AND NOT is_test").withColumn("node", key("name")).join(reached, "node", "left_anti").drop("node")
+
+
+def same_language(items: DataFrame, targets: DataFrame) -> DataFrame:
+    """Items of the languages that the targets are of."""
+    return items.join(targets.select("lang").distinct(), "lang", "left_semi")

@@ -111,3 +111,9 @@ def duplicates(items: DataFrame, key: list[Column]) -> DataFrame:
     keyed = items.select("*", *[k.alias(n) for k, n in zip(parts, names, strict=True)])
     groups = keyed.groupBy(*names).agg((F.count("*") - 1).alias("peer_count")).where("peer_count > 0")
     return keyed.join(groups, names).drop(*names)
+
+
+def kth_match(left: DataFrame, right: DataFrame, keys: list[str], order: Column) -> DataFrame:
+    """The k-th row of each key on the left with the k-th on the right; rows without a partner go. Keys are small groups, such as a file's items of one name."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    return left.withColumn("__k", nth).join(right.withColumn("__k", nth).drop(*[c for c in right.columns if c in left.columns and c not in keys]), [*keys, "__k"]).drop("__k")

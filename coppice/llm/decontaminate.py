@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -154,22 +155,40 @@ def find_spans(
     table of documents gives no rows; an empty benchmark, no hits. A text takes its words' memory, once a batch.
 
     Items are a query set: they pass the driver in blocks of at most ``block_words`` words, and
-    each block is one broadcast and one pass over the documents.
+    each block is one broadcast and one pass over the documents. With more than one block, only hits are
+    written in between.
     """
     spark = docs.sparkSession
     rows = benchmark.where(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text_col))
     columns = list(dict.fromkeys([id_col, *keep]))
-    out = docs.select(*columns, F.col(text_col).alias("__text"), F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("longest"))
-    schema = out.schema
-    items = ((r[0], r[1].encode()) for r in rows.toLocalIterator())
-    for k, block in enumerate(_blocks(items, block_words)):
-        if k:  # so that one automaton is in a worker's memory at a time
-            out = written(out, "decontaminate")
-        out = map_batches(out, _scanner(spark.sparkContext.broadcast(SuffixAutomaton(block, window))), schema)
+    text = F.col(text_col).alias("__text")
+    found = [F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("longest")]
+    blocks = _blocks(((r[0], r[1].encode()) for r in rows.toLocalIterator()), block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        out = docs.select(*columns, text, *found)
+        out = map_batches(out, _scanner(spark.sparkContext.broadcast(SuffixAutomaton(first, window))), out.schema)
+    else:
+        # a pass a block reads the texts and writes the hits only, which then meet their documents once
+        key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("__ra"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("__rb")]
+        hits = None
+        for block in chain([first, second], blocks):
+            sent = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+            part = docs.select(*key, text, *found)
+            part = map_batches(part, _scanner(sent), part.schema).where(F.size("spans") > 0).drop("__text", "n_words").dropDuplicates(["__ra", "__rb"])
+            part = written(part, "decontaminate")
+            sent.unpersist()
+            hits = part if hits is None else hits.unionByName(part)
+        hits = hits.groupBy("__ra", "__rb").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
+        out = docs.select(*columns, text, *key).join(hits, ["__ra", "__rb"], "left").select(*columns, "__text", F.lit(0).cast("long").alias("n_words"), "spans", "items", F.coalesce("longest", F.lit(0)).alias("longest"))
+        out = map_batches(out, _scanner(None), out.schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
     return out.select(*columns, "n_words", n_hit.alias("n_hit"), "spans", "items", "longest").withColumn("coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 
+SPANS = "array<struct<start:int,end:int>>"
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -181,14 +200,16 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _scanner(automaton):
+    """Adds what the automaton (None: nothing) finds to the spans, items and longest match that a row has."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = automaton.value
+        hits = automaton.value.hits if automaton else lambda _: ([], set(), 0)
         for batch in batches:
             words, spans, items, longest = [], [], [], []
             before = zip(batch["spans"].to_pylist(), batch["items"].to_pylist(), batch["longest"].to_pylist(), strict=True)
             for text, (s0, i0, l0) in zip(texts(batch["__text"]), before, strict=True):
                 w = words_of(text)
-                s, i, n = a.hits(w)
+                s, i, n = hits(w)
                 if s0:
                     s = _merged([*s, *((x["start"], x["end"]) for x in s0)])
                 words.append(len(w))

@@ -37,6 +37,8 @@ FREQUENT = 1 << 16
 #: Classes of a group, and shingles of a blob, that one unit of work takes; larger ones are dealt in blocks.
 GROUP_UNIT, BLOB_UNIT = 2048, 500_000
 LEAF = 16
+#: Bytes of a signature, so that a unit of work has a bound in bytes too.
+SIGNATURE = 1 << 16
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _C = np.uint64(0xD6E8FEB86659FD93)
@@ -78,8 +80,11 @@ def early_length(n: int) -> int:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap with two to four bits for each token; half as long, it is the OR of its halves."""
-    size = max(8, (1 << len(tokens).bit_length()) // 4)
+    """Bitmap with two to four bits for each token; half as long, it is the OR of its halves.
+
+    SIGNATURE bytes at most: beyond some 130,000 tokens it says less, never something wrong.
+    """
+    size = min(max(8, (1 << len(tokens).bit_length()) // 4), SIGNATURE)
     bits = np.zeros(size * 8, np.uint8)
     bits[(tokens & np.uint64(size * 8 - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()

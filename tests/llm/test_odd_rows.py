@@ -152,6 +152,15 @@ def test_ids_of_any_kind(spark):
     assert kept == sorted([("a", near), ("c", "other words than those"), ("None", "None"), ("d", "")])
 
 
+def test_short_signatures_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIGNATURE", 8)
+    r = random.Random(12)
+    base = [f"w{r.randrange(10**6)}" for _ in range(3000)]
+    rows = [(k, " ".join(w if r.random() > 0.004 else f"x{k}" for w in base)) for k in range(8)] + [(100 + k, " ".join(f"y{r.randrange(10**6)}" for _ in range(2900))) for k in range(8)]
+    got = {x["doc_id"]: x["component_id"] for x in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k] == 0 for k in range(8)) and all(got[100 + k] == 100 + k for k in range(8))
+
+
 def test_rows_that_share_an_id_stay(spark):
     docs = spark.createDataFrame([(1, "x"), (1, "totally other text"), (1, "x")], "doc_id long, text string")
     assert sorted(r["text"] for r in ngram_join.keep_one(docs).collect()) == ["totally other text", "x"]

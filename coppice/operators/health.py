@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coppice.functions import text as T
 from coppice.sources.files import ignored
+from coppice.sources.syntax import surfaces
 
 from . import graph as G
 from . import relational as R
@@ -122,7 +123,7 @@ def unexplained_counts(traced: DataFrame) -> DataFrame:
     u, n = traced.where("category = 'unexplained' AND NOT hidden"), F.count_if
     owned = F.size("module_ids") > 0
     return u.agg(
-        F.count("*").alias("unexplained_items"), n(F.col("review_surface")).alias("review_surface_items"), n(F.col("public")).alias("public_items"), n(~F.col("public")).alias("internal_items"), n(F.col("module_backed")).alias("module_backed_items"),
+        F.count("*").alias("unexplained_items"), n(F.col("review_surface")).alias("review_surface_items"), n(F.col("public")).alias("public_items"), n(~F.col("public")).alias("internal_items"), n(F.col("test_file")).alias("test_file_items"), n(owned).alias("module_owned_items"), n(F.col("module_backed")).alias("module_backed_items"),
         n(F.col("module_connected")).alias("module_connected_items"), n(F.col("module_backed") & ~F.col("module_connected")).alias("module_isolated_items"), n(~owned).alias("unowned_items"),
     )
 
@@ -207,21 +208,25 @@ def module_coupling(modules: DataFrame, implements: DataFrame, resolved: DataFra
     return out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("ambiguous", "unresolved", "external")})
 
 
-def module_summary(owned_items: DataFrame, implements: DataFrame, files: DataFrame) -> DataFrame:
-    """Per module: owned lines, public and internal items, complexity and quality. Parameters count for public functions, panics for all.
-
-    Rust counts every item as public or internal; its public items are here those that can be called.
-    """
+def owned_texts(implements: DataFrame, files: DataFrame) -> DataFrame:
+    """(module_id, path, text): implemented items, and whole files of which no item has an owner of its own."""
     item = implements.where("body_line IS NOT NULL").select("module_id", "path", F.col("body").alias("text"))
     scoped = item.select("path").distinct()
-    whole = implements.where("body_line IS NULL").select("module_id", "path").join(scoped, "path", "left_anti").join(files.select("path", "text"), "path")
-    lines = item.unionByName(whole).groupBy("module_id").agg(F.sum(T.owned_lines(F.col("text"))).alias("owned_lines"))
+    whole = implements.where("body_line IS NULL").select("module_id", "path").distinct().join(scoped, "path", "left_anti").join(files.select("path", "text"), "path")
+    return item.unionByName(whole)
+
+
+def module_summary(owned_items: DataFrame, implements: DataFrame, files: DataFrame) -> DataFrame:
+    """Per module: owned lines, public and internal items, complexity and quality. Parameters count for public functions, panics for all."""
+    texts = owned_texts(implements, files)
+    lines = texts.groupBy("module_id").agg(F.sum(T.owned_lines(F.col("text"))).alias("owned_lines"))
+    shown = surfaces(texts, "module_id").groupBy("module_id").agg(F.sum("public_items").alias("public_items"), F.sum("internal_items").alias("internal_items"))
     when = lambda c: F.sum(F.when(F.col("public"), F.col(c)).otherwise(0))
     own = owned_items.where("NOT is_test").groupBy("module_id").agg(
-        F.count_if("public").alias("public_items"), F.count_if(~F.col("public")).alias("internal_items"), F.count("*").alias("functions"), F.sum("cyclomatic").alias("total_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"),
+        F.count("*").alias("functions"), F.sum("cyclomatic").alias("total_cyclomatic"), F.max("cyclomatic").alias("max_cyclomatic"),
         F.sum("cognitive").alias("total_cognitive"), F.max("cognitive").alias("max_cognitive"), when("params").alias("parameters"), when("bool_params").alias("bool_params"), when("string_params").alias("string_params"), F.sum("panics").alias("panic_sites"),
     )
-    return lines.join(own, "module_id", "full")
+    return lines.join(shown, "module_id", "full").join(own, "module_id", "full")
 
 
 def architecture_metrics(summary: DataFrame) -> DataFrame:

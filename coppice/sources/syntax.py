@@ -652,6 +652,66 @@ def imports(top: list[Token], text: str, lang: str) -> list[dict]:
     return [{"target": t, "alias": a} for t, a in out]
 
 
+#: Rust items that end at a semicolon, and those that end at it or at their block.
+_TO_SIGN, _TO_BLOCK = ("const", "static", "type", "use"), ("fn", "struct", "enum", "union", "trait", "mod", "impl")
+
+
+def rust_surface(row: list[Token], inside_impl: bool = False) -> tuple[int, int]:
+    """(public, internal) items of a file, a module or an impl: every kind of item counts, functions among them."""
+    public = internal = at = 0
+    while at < len(row):
+        start, open_to_all = at, False
+        while at < len(row) and (row[at].text in ("#", "!") or row[at].kind == "[" and at and row[at - 1].text in ("#", "!")):
+            at += 1  # attributes
+        if at < len(row) and row[at].text == "pub":
+            open_to_all = not (at + 1 < len(row) and row[at + 1].kind == "(")
+            at += 1 if open_to_all else 2
+        while at + 1 < len(row) and (row[at].text in ("async", "unsafe", "default", "extern") or row[at].text == "const" and row[at + 1].text in ("fn", "unsafe", "async", "extern") or row[at].kind == "string"):
+            if row[at].text == "extern" and row[at + 1].text == "crate":
+                break
+            at += 1
+        if at >= len(row):
+            break
+        word = row[at].text if row[at].kind == "name" else row[at].kind
+        to_sign = word in _TO_SIGN or word == "extern"
+        end = next((k for k in range(at, len(row)) if row[k].text == ";" or not to_sign and row[k].kind == "{"), len(row) - 1)
+        if word == "impl":
+            p, i = rust_surface(row[end].inner, True) if row[end].kind == "{" else (0, 0)
+            public, internal = public + p, internal + i
+        elif word in _TO_SIGN + _TO_BLOCK or word == "extern":
+            if not inside_impl or word in ("fn", "const", "type"):
+                public, internal = public + open_to_all, internal + (not open_to_all)
+            if word == "mod" and row[end].kind == "{":
+                p, i = rust_surface(row[end].inner)
+                public, internal = public + p, internal + i
+        elif word == "{" and at > start and not inside_impl:
+            internal += 1  # foreign items
+        elif at + 1 < len(row) and row[at + 1].text == "!" and not inside_impl:
+            internal += 1  # a macro
+        at = end + 1
+    return public, internal
+
+
+def surface_of(path: str, text: str) -> tuple[int, int]:
+    """(public, internal) items of a text in the language of its path: all kinds in Rust, what can be called in Go and TypeScript."""
+    if path.endswith(".rs"):
+        return rust_surface(tokens(text, "rust"))
+    found = Items(path, text).out
+    shown = sum(i["public"] for i in found)
+    return shown, len(found) - shown
+
+
+def surfaces(texts: DataFrame, key: str) -> DataFrame:
+    """(key, public_items, internal_items) of each row of (key, path, text)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [surface_of(p, t or "") for p, t in zip(b["path"].to_pylist(), b["text"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b[key], pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=[key, "public_items", "internal_items"])
+
+    known = F.substring_index("path", ".", -1).isin(*LANGUAGES)
+    return texts.where(known).select(key, "path", "text").mapInArrow(run, f"{key} {dict(texts.dtypes)[key]}, public_items long, internal_items long")
+
+
 ITEM_SCHEMA = (
     "path string, lang string, stable_id string, name string, qualified_name string, module_path array<string>, container_path array<string>, kind string, start_line int, end_line int, public boolean, root_visible boolean, "
     "is_test boolean, shape array<string>, nodes int, calls array<struct<name:string,qualifier:string,syntax:string>>, invocations array<string>, params int, bool_params int, string_params int, cyclomatic int, cognitive int, panics int"

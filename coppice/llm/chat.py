@@ -24,9 +24,9 @@ class Template:
 
     ``turns`` is the machine: state -> states that may follow; a role is a state, and a conversation may
     end in the states of ``final``. Roles without marks of their own use ``other``, with the role's name
-    between its first two strings. ``special`` are the characters that control strings begin or end with;
+    between its first two strings. ``reserved`` are the characters that control strings begin or end with;
     in texts and names each is followed by the escape sign, as is the escape sign itself. So no control
-    string of two characters or more, all of which begin with a special one, can stand in a text.
+    string of two characters or more, all of which begin with a reserved one, can stand in a text.
     """
 
     marks: dict[str, tuple[str, str]] = field(default_factory=lambda: {"system": ("<<SYS>>", "<</SYS>>"), "user": ("<s>[INST]", "[/INST]"), "assistant": ("<<ANS>>", "</s>")})
@@ -35,12 +35,12 @@ class Template:
     turns: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     final: frozenset[str] = frozenset({"assistant"})
     escape: str = "\\"
-    special: str = "<>[]"
+    reserved: str = "<>[]"
 
     def __post_init__(self):
         for c in self.controls():
-            if len(c) < 2 or c[0] not in self.special or self.escape in c:
-                raise ValueError(f"a mark must have two characters or more and begin with one of {self.special}: {c!r}")
+            if len(c) < 2 or c[0] not in self.reserved or self.escape in c:
+                raise ValueError(f"a mark must have two characters or more and begin with one of {self.reserved}: {c!r}")
 
     def controls(self) -> list[str]:
         """Every control string, and the parts of which marks are made."""
@@ -51,12 +51,12 @@ class Template:
 class Formatter:
     def __init__(self, template: Template):
         self.t = template
-        one, e = re.escape(template.special + template.escape), re.escape(template.escape)
+        one, e = re.escape(template.reserved + template.escape), re.escape(template.escape)
         self._plain, self._escaped = re.compile(f"([{one}])"), re.compile(f"([{one}]){e}")
         self._put = "\\1" + template.escape.replace("\\", "\\\\")
 
     def escape(self, text: str) -> str:
-        """Every special character and escape sign is followed by an escape sign."""
+        """Every reserved character and escape sign is followed by an escape sign."""
         return self._plain.sub(self._put, text)
 
     def unescape(self, text: str) -> str:
@@ -170,7 +170,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def op9_sql() -> str:
     t = Template()
-    escaped = "length(text)" + "".join(f" + length(text) - length(replace(text, '{c}', ''))" for c in t.special + t.escape)
+    escaped = "length(text)" + "".join(f" + length(text) - length(replace(text, '{c}', ''))" for c in t.reserved + t.escape)
     known = " ".join(f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b) in t.marks.items())
     return f"""
 WITH c AS (

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches
-from .token_count import BYTE_SIGNS, load
+from .token_count import BYTE_SIGNS, library_ids, load
 
 #: Remainders that a task packs together, whatever columns are asked for; a full set is packed and the next one begun.
 PACK_ROWS = 50_000
@@ -130,7 +130,7 @@ class TextIds(dict):
         return all(self.of(p) == self.library(p) for p in [*probes, *(f"X{a.upper()}y{a}" for a in self.added)])
 
     def library(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", library_ids(self.tokenizer, text)).tobytes()
 
     def plain(self, text: str) -> bytes | None:
         """The ids of plain text without added strings; None for other texts."""

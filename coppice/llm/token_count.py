@@ -44,6 +44,11 @@ def load(path: str):
     return t
 
 
+def library_ids(tokenizer, text: str) -> list[int]:
+    """The library's ids of a text, without begin, end or added tokens of its own."""
+    return tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def proven_tokens(tokenizer) -> frozenset[str]:
     """Vocabulary strings that encode alone as one token and are one pre-token."""
     pattern, found = regex.compile(PRE_TOKEN), set()
@@ -78,7 +83,7 @@ class Counter(dict):
         return all(self.count(p) == self.library(p) for p in [*probes, *(f"X {a}y{a}" for a in self.added)])
 
     def library(self, text: str) -> int:
-        return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return len(library_ids(self.tokenizer, text))
 
     def merged(self, text: str) -> int:
         if any(s in text for s in self.added):
@@ -109,7 +114,7 @@ class Counter(dict):
 def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_bytes (UTF-8) and n_tokens of every whole text, as the tokenizer's library gives them.
 
-    Null counts as empty: 0 bytes, 0 tokens. Special strings inside texts count as the library's
+    Null counts as empty: 0 bytes, 0 tokens. Added strings inside texts count as the library's
     default has it. Repeated rows are counted alike; other columns are ignored. The proven set is
     broadcast; the vocabulary bounds its size.
     """

@@ -118,6 +118,12 @@ def buckets(traced: DataFrame) -> DataFrame:
     return every.join(shown.groupBy("bucket").agg(F.count("*").alias("items")), "bucket", "left").select("bucket", F.coalesce("items", F.lit(0).cast("long")).alias("items"))
 
 
+def bucket_items(traced: DataFrame, bucket: str) -> DataFrame:
+    """The items of one bucket in order of path (by component), line, name and kind."""
+    keep = F.col("file_scoped_only") if bucket == "file_scoped_only" else F.col("category") == bucket
+    return traced.where(keep & ~F.col("hidden")).orderBy(T.path_key(F.col("path")), "line", "name", F.when(F.col("kind") == "function", 0).otherwise(1))
+
+
 def unexplained_counts(traced: DataFrame) -> DataFrame:
     """One row: the unexplained items and how many of them are of each kind that matters."""
     u, n = traced.where("category = 'unexplained' AND NOT hidden"), F.count_if

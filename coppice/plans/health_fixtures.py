@@ -408,3 +408,10 @@ extern crate core;
 @query(values("path VARCHAR, public_items BIGINT, internal_items BIGINT", ("a.rs", 7, 8), ("b.go", 1, 1), ("c.ts", 1, 1)))
 def surface_by_file(spark, sf):
     return surfaces(files(spark, SURFACE).withColumn("key", F.col("path")), "key").withColumnRenamed("key", "path")
+
+
+@query(values("nth BIGINT, path VARCHAR, line INTEGER, name VARCHAR", (0, "src/live.rs", 6, "orphan_impl"), (1, "src/loose.rs", 1, "loose_orphan")))
+def bucket_order(spark, sf):
+    """The order of a bucket, numbered as the rows stand."""
+    rows = H.bucket_items(_traced(spark), "unexplained").select("path", "line", "name").coalesce(1)
+    return rows.withColumn("nth", F.monotonically_increasing_id())

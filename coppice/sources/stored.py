@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -66,3 +67,9 @@ def drop(*tables: DataFrame | None) -> None:
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets executors delete the shuffle files of finished jobs, which stay until the driver's own garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coppice.operators.components import connected_components
+from coppice.sources.stored import release_shuffles
 
 from .common import drop, join_hot, map_batches, texts, written
 
@@ -486,6 +487,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     members = _in_blocks(members, ["token", "chain"], blocks, F.xxhash64("cid")).select("token", "chain", "p", "q", "side", "cid", "n", "sig")
     blobs = written(connected_components(_candidates(members)), "blobs")
     drop(shared)
+    release_shuffles(docs.sparkSession)
 
     sizes = blobs.join(classes.select(F.col("cid").alias("node"), "n"), "node")
     total = sizes.groupBy("root").agg(F.ceil(F.sum("n") / BLOB_UNIT).alias("blocks"), F.count("*").alias("size"))
@@ -495,6 +497,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     found = _in_blocks(_exact_sets(whole), ["blob"], F.col("blocks"), F.xxhash64("cid")).select("blob", "p", "q", "side", "cid", "set")
     roots = connected_components(_verified(found))
     drop(blobs)
+    release_shuffles(docs.sparkSession)
 
     keyed = classes.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("k1", "k2", F.coalesce("root", "cid").alias("root"), "least", "copies")
     least = keyed.groupBy("root").agg(F.min("least").alias("component"))

@@ -91,12 +91,29 @@ def waterfall(*cases: tuple[Column, str], otherwise: str) -> Column:
     return out.otherwise(otherwise)
 
 
-def span_containment(refs: DataFrame, spans: DataFrame, path: str, line: str, start: str, end: str, span_id: str, ref_id: str, width: int = 64) -> DataFrame:
-    """References inside exactly one span of their path. Spans are cut into stretches of ``width`` lines, so it is an equi-join."""
-    r = refs.withColumn("__b", F.floor(F.col(line) / width))
-    s = spans.withColumn("__b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
-    hit = r.join(s, [path, "__b"]).where(F.col(line).between(F.col(start), F.col(end)))
-    return hit.groupBy(ref_id).agg(F.count("*").alias("__n"), F.min(span_id).alias(span_id)).where("__n = 1").drop("__n")
+def span_containment(refs: DataFrame, spans: DataFrame, path: str, line: str, start: str, end: str, span_id: str, ref_id: str) -> DataFrame:
+    """References inside exactly one span of their path. Lines are whole numbers.
+
+    A span is cut into stretches of 2^k lines that begin at a multiple of 2^k, two of a size at most, and the spans of a
+    stretch are counted before the join. A line is in one stretch of each size, so the work grows with the rows and the
+    logarithm of the spans' lengths, not with the pairs, however many spans overlap.
+    """
+    at = lambda x, k: F.call_function("shiftright", x, k)
+    lo, past = F.col("__lo"), F.col("__hi") + 1
+    bits = lambda n: (F.length(F.bin(n)) - 1).cast("int")
+    first, last = lambda k: -at(-lo, k), lambda k: at(past, k)
+    odd = lambda x: F.pmod(x, F.lit(2)) == 1
+    s = spans.where(F.col(start) <= F.col(end)).select(F.col(path).alias("__path"), F.col(start).cast("long").alias("__lo"), F.col(end).cast("long").alias("__hi"), F.col(span_id).alias("__span"))
+    top = s.agg(bits(F.max(past - lo)).alias("__top"))
+    s = s.groupBy("__path", "__lo", "__hi").agg(F.count("*").alias("__n"), F.min("__span").alias("__span"))
+    s = s.withColumn("__k", F.explode(F.sequence(F.lit(0), bits(past - lo)))).where(first(F.col("__k")) < last(F.col("__k")))
+    ends = F.array(F.when(odd(first(F.col("__k"))), first(F.col("__k"))), F.when(odd(last(F.col("__k"))), last(F.col("__k")) - 1))
+    s = s.withColumn("__at", F.explode(ends)).where("__at IS NOT NULL").groupBy("__path", "__k", "__at").agg(F.sum("__n").alias("__n"), F.min("__span").alias("__span"))
+    r = refs.select(F.col(path).alias("__path"), F.col(line).cast("long").alias("__line"), F.col(ref_id).alias("__ref"))
+    lines = r.select("__path", "__line").distinct().crossJoin(F.broadcast(top)).withColumn("__k", F.explode(F.sequence(F.lit(0), F.col("__top"))))
+    hit = lines.withColumn("__at", at(F.col("__line"), F.col("__k"))).join(s, ["__path", "__k", "__at"]).groupBy("__path", "__line").agg(F.sum("__n").alias("__n"), F.min("__span").alias("__span"))
+    out = r.join(hit, ["__path", "__line"]).groupBy("__ref").agg(F.sum("__n").alias("__n"), F.min("__span").alias("__span")).where("__n = 1")
+    return out.select(F.col("__ref").alias(ref_id), F.col("__span").alias(span_id))
 
 
 def duplicates(items: DataFrame, key: list[Column]) -> DataFrame:

@@ -1,10 +1,12 @@
 """Operators on groups whose pairs are too many to be made one by one."""
 
 import random
+import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from coppice.operators import relational
+from coppice.operators import relational, set_pairs
 
 
 def test_spans_are_counted_not_paired(spark):
@@ -31,3 +33,46 @@ def test_spans_against_all_pairs(spark):
     r, s = spark.createDataFrame(refs, "path string, ref long, line int"), spark.createDataFrame(spans, "path string, span long, lo int, hi int")
     assert want and {tuple(x) for x in relational.span_containment(r, s, "path", "line", "lo", "hi", "span", "ref").collect()} == want
     assert relational.span_containment(r, s.limit(0), "path", "line", "lo", "hi", "span", "ref").count() == 0
+
+
+def pairs_of(sets):
+    """All pairs by hand: null elements count in the sizes only."""
+    out = set()
+    for a, x in sets.items():
+        for b, y in sets.items():
+            both = len((x & y) - {None})
+            if a is not None and b is not None and a < b and both:
+                out.add((a, b, both, len(x), len(y)))
+    return out
+
+
+def test_overlaps_against_all_pairs(spark, monkeypatch):
+    """In blocks (several, and far apart in their elements) and joined; ids and elements of any type, nulls."""
+    dice = random.Random(5)
+    sets = {f"k{k:03d}" if k else None: {dice.choice([None, *(f"é{(k % 2) * 50 + e}" for e in range(12))]) for _ in range(dice.randint(1, 9))} for k in range(60)}
+    rows = spark.createDataFrame([(k, t) for k, s in sets.items() for t in s], "id string, t string")
+    want = pairs_of(sets)
+    for block, few, cells, steps in ((7, 0, 20, 3), (1000, 0, 1 << 20, 1 << 21), (7, 10**9, 20, 3)):
+        for name, value in (("BLOCK", block), ("FEW", few)):
+            monkeypatch.setattr(set_pairs, name, value)
+        assert {tuple(r) for r in set_pairs.overlaps(rows).select("a", "b", "both", "na", "nb").collect()} == want
+        monkeypatch.setattr(set_pairs, "BLOCK", 2048)
+        table = [(i, j, b, *r) for i, j in ((0, 0), (0, 1), (1, 1)) for b, r in [(int(k[1:]) // 3 % 2, (k, len(s), [t for t in s if t])) for k, s in sorted((k, s) for k, s in sets.items() if k)] if b in (i, j)]
+        monkeypatch.setattr(set_pairs, "CELLS", cells)
+        monkeypatch.setattr(set_pairs, "STEPS", steps)
+        batch = pa.RecordBatch.from_pylist([dict(zip(("i", "j", "block", "id", "n", "ts"), r)) for r in table])
+        got = [tuple(r.values()) for part in set_pairs._count_pairs([batch.slice(0, 40), batch.slice(40)]) for r in part.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+    assert set_pairs.overlaps(rows.limit(0)).count() == 0
+
+
+def test_overlaps_of_sets_that_share_much(spark):
+    """3,000 sets of 150 elements out of 200: 4.5 million pairs, 500 million meetings on an element."""
+    rows = spark.range(3000).select("id", F.explode(F.sequence(F.lit(0), F.lit(149))).alias("k")).select("id", ((F.col("id") + F.col("k")) % 200).alias("t"))
+    began = time.time()
+    got = set_pairs.overlaps(rows).agg(F.count("*"), F.sum("both"), F.min("both"), F.max("both"), F.min("na"), F.max("nb")).first()
+    took = time.time() - began
+    each = [max(150 - d, 0) + max(d - 50, 0) for d in range(200)]  # of the distance around the ring
+    both = [each[(b - a) % 200] for a in range(200) for b in range(200)]
+    assert tuple(got) == (3000 * 2999 // 2, (15 * 15 * sum(both) - 3000 * 150) // 2, min(both), 150, 150, 150)
+    assert took < 60

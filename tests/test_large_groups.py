@@ -6,7 +6,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from coppice.operators import relational, set_pairs
+from coppice.operators import graph, relational, set_pairs
 
 
 def test_spans_are_counted_not_paired(spark):
@@ -76,3 +76,21 @@ def test_overlaps_of_sets_that_share_much(spark):
     both = [each[(b - a) % 200] for a in range(200) for b in range(200)]
     assert tuple(got) == (3000 * 2999 // 2, (15 * 15 * sum(both) - 3000 * 150) // 2, min(both), 150, 150, 150)
     assert took < 60
+
+
+def test_closure_without_rounds(spark, monkeypatch):
+    """A chain of 600 nodes with a cycle at its end, of which a round of joins takes four edges; as held and as rounds on a short one."""
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(600)] + [("n600", "n590"), ("n600", None), (None, "n1")]
+    roots = spark.createDataFrame([("n0",), ("n595",), ("n0",), ("away",), (None,)], "root string")
+    e = spark.createDataFrame(chain, "caller string, callee string")
+    want = {("n0", f"n{k}") for k in range(1, 601)} | {("n595", f"n{k}") for k in range(590, 601)}
+    began = time.time()
+    for reflexive, more in ((False, set()), (True, {("n0", "n0"), ("away", "away")})):
+        got = [tuple(r) for r in graph.closure(e, roots, reflexive).collect()]
+        assert len(got) == len(set(got)) and set(got) == want | more
+    assert time.time() - began < 60
+    short = e.where("caller IS NULL OR callee IS NULL OR substring(caller, 2) >= '595' AND length(caller) = 4")
+    held = [sorted(map(tuple, graph.closure(short, roots, r).collect())) for r in (False, True)]
+    assert graph.closure(e.limit(0), roots).count() == 0 and graph.closure(e.limit(0), roots, True).count() == 3
+    monkeypatch.setattr(graph, "HELD", 0)
+    assert held == [sorted(map(tuple, graph.closure(short, roots, r).collect())) for r in (False, True)]

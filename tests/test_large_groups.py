@@ -94,3 +94,12 @@ def test_closure_without_rounds(spark, monkeypatch):
     assert graph.closure(e.limit(0), roots).count() == 0 and graph.closure(e.limit(0), roots, True).count() == 3
     monkeypatch.setattr(graph, "HELD", 0)
     assert held == [sorted(map(tuple, graph.closure(short, roots, r).collect())) for r in (False, True)]
+
+
+def test_reflexive_closure_of_a_ring(spark):
+    """400 roots around a ring of 400: all 160,000 pairs, each once, in one walk a root instead of a hundred rounds."""
+    e = spark.range(400).select(F.col("id").alias("caller"), ((F.col("id") + 1) % 400).alias("callee"))
+    began = time.time()
+    got = graph.closure(e, spark.range(401).select(F.col("id").alias("root")), reflexive=True)
+    assert tuple(got.agg(F.count("*"), F.count_distinct("root", "node"), F.count_if(F.expr("root = 400 AND node = 400"))).first()) == (160_001, 160_001, 1)
+    assert time.time() - began < 60

@@ -20,7 +20,7 @@ WORD_BYTES = bytes(
 )
 
 #: Bytes in an Arrow batch, beyond which it ends (one longer text is a batch of its own).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -158,16 +158,22 @@ def find_spans(
     each block is one broadcast and one pass over the documents. With more than one block, only hits are
     written in between.
     """
+    columns = list(dict.fromkeys([id_col, *keep]))
+    out = _scanned(docs, benchmark, window, columns, id_col, text_col, item_col, item_text_col, block_words)
+    return out.select(*columns, "n_words", "n_hit", "spans", "items", "longest", "coverage")
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, columns: list[str], id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS, cutting: bool = False) -> DataFrame:
+    """find_spans, with __text: the text, with ``cutting`` without its spans. The last pass over the texts cuts as it scans, so a task has one worker."""
     spark = docs.sparkSession
     rows = benchmark.where(F.col(item_text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(item_text_col))
-    columns = list(dict.fromkeys([id_col, *keep]))
     text = F.col(text_col).alias("__text")
     found = [F.lit(0).cast("long").alias("n_words"), F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).alias("longest")]
     blocks = _blocks(((r[0], r[1].encode()) for r in rows.toLocalIterator()), block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         out = docs.select(*columns, text, *found)
-        out = map_batches(out, _scanner(spark.sparkContext.broadcast(SuffixAutomaton(first, window))), out.schema)
+        out = map_batches(out, _scanner(spark.sparkContext.broadcast(SuffixAutomaton(first, window)), cutting), out.schema)
     else:
         # a pass a block reads the texts and writes the hits only, which then meet their documents once
         key = [F.xxhash64(F.col(id_col), F.col(text_col)).alias("__ra"), F.xxhash64(F.lit(7), F.col(id_col), F.col(text_col)).alias("__rb")]
@@ -181,9 +187,9 @@ def find_spans(
             hits = part if hits is None else hits.unionByName(part)
         hits = hits.groupBy("__ra", "__rb").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
         out = docs.select(*columns, text, *key).join(hits, ["__ra", "__rb"], "left").select(*columns, "__text", F.lit(0).cast("long").alias("n_words"), "spans", "items", F.coalesce("longest", F.lit(0)).alias("longest"))
-        out = map_batches(out, _scanner(None), out.schema)
+        out = map_batches(out, _scanner(None, cutting), out.schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]).cast("long"))
-    return out.select(*columns, "n_words", n_hit.alias("n_hit"), "spans", "items", "longest").withColumn("coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(F.lit(0.0)))
+    return out.select(*columns, "__text", "n_words", n_hit.alias("n_hit"), "spans", "items", "longest").withColumn("coverage", F.when(F.col("n_words") > 0, F.col("n_hit") / F.col("n_words")).otherwise(F.lit(0.0)))
 
 
 SPANS = "array<struct<start:int,end:int>>"
@@ -199,15 +205,15 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scanner(automaton):
-    """Adds what the automaton (None: nothing) finds to the spans, items and longest match that a row has."""
+def _scanner(automaton, cutting: bool = False):
+    """Adds what the automaton (None: nothing) finds to the spans, items and longest match that a row has; with ``cutting`` the spans leave the text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits = automaton.value.hits if automaton else lambda _: ([], set(), 0)
         for batch in batches:
-            words, spans, items, longest = [], [], [], []
+            words, spans, items, longest, left = [], [], [], [], []
             before = zip(batch["spans"].to_pylist(), batch["items"].to_pylist(), batch["longest"].to_pylist(), strict=True)
-            for text, (s0, i0, l0) in zip(texts(batch["__text"]), before, strict=True):
+            for k, (text, (s0, i0, l0)) in enumerate(zip(texts(batch["__text"]), before, strict=True)):
                 w = words_of(text)
                 s, i, n = hits(w)
                 if s0:
@@ -216,7 +222,9 @@ def _scanner(automaton):
                 spans.append([{"start": x, "end": y} for x, y in s])
                 items.append(sorted(i | set(i0 or ())))
                 longest.append(max(n, l0))
-            new = {"n_words": words, "spans": spans, "items": items, "longest": longest}
+                if cutting:
+                    left.append(cut(text, s).decode() if s else batch["__text"][k].as_py())
+            new = {"n_words": words, "spans": spans, "items": items, "longest": longest} | ({"__text": left} if cutting else {})
             yield pa.RecordBatch.from_arrays([pa.array(new[f.name], f.type) if f.name in new else batch.column(k) for k, f in enumerate(batch.schema)], schema=batch.schema)
 
     return scan
@@ -239,18 +247,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     spans are cut out and length_col (if there) follows. Documents without a hit, null texts
     among them, stay as they are.
     """
-    found = find_spans(docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark, window, "__all", text_col, keep=("__all",))
-    kept = found.where(F.col("coverage") <= max_coverage).select("__all", F.col(f"__all.`{text_col}`").alias("__text"), "spans")
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            new = [None if s else t for t, s in zip(batch["__text"].to_pylist(), batch["spans"].to_pylist(), strict=True)]
-            for k, s in enumerate(batch["spans"].to_pylist()):
-                if s:
-                    new[k] = cut(batch["__text"][k].as_py().encode(), [(x["start"], x["end"]) for x in s]).decode()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2)], schema=pa.schema([batch.schema.field(0), pa.field("__text", pa.string()), batch.schema.field(2)]))
-
-    out = map_batches(kept, clean, kept.schema)
+    rows = docs.withColumn("__all", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    out = _scanned(rows, benchmark, window, ["__all"], "__all", text_col, cutting=True).where(F.col("coverage") <= max_coverage)
     hit = F.size("spans") > 0
     return out.select(*[
         F.when(hit, F.col("__text")).otherwise(F.col(f"__all.`{c}`")).alias(c) if c == text_col

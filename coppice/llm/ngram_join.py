@@ -108,8 +108,16 @@ class _Frequent:
             self.flush()
 
     def flush(self) -> None:
-        t, c = np.unique(np.concatenate([*self.buffer, self.tokens[:0]]), return_counts=True)
-        t, c = t[c > 1], c[c > 1]
+        t = np.concatenate([*self.buffer, self.tokens[:0]])
+        self.buffer = []
+        t.sort()
+        # where runs of equal tokens begin and end; np.unique would hold several copies of the bucket
+        same = t[1:] == t[:-1]
+        begin, end = same.copy(), same.copy()
+        begin[1:] &= ~same[:-1]
+        end[:-1] &= ~same[1:]
+        begin = np.flatnonzero(begin)
+        t, c = t[begin], np.flatnonzero(end) - begin + 2
         t, at = np.unique(np.concatenate([self.tokens, t]), return_inverse=True)
         c = np.bincount(at, np.concatenate([self.counts, c]), len(t)).astype(np.int64)
         if len(t) > self.KEPT:

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -120,3 +121,20 @@ def test_chains_hold_every_pair_that_a_shared_shingle_may_link(seed):
     for t, c, _ in out:
         members[t, c] = members.get((t, c), 0) + 1
     assert all(v > 1 for v in members.values())
+
+
+def test_frequent_shingles_take_little_memory():
+    """A bucket's counts need the bucket once more and its repeats, not several copies of it."""
+    seen = J._Frequent()
+    tokens = np.random.default_rng(1).integers(0, 1 << 62, seen.BUCKET - 12, dtype=np.uint64)
+    tracemalloc.start()
+    seen.add(tokens.copy())
+    seen.add(np.repeat(np.array([5, 3, 1 << 63], np.uint64), [7, 4, 1]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen.tokens.tolist() == [3, 5] and seen.counts.tolist() == [4, 7] and seen.size == 0
+    seen.flush()
+    seen.add(np.array([5, 5, 9], np.uint64))
+    seen.flush()
+    assert seen.tokens.tolist() == [3, 5] and seen.counts.tolist() == [4, 9]
+    assert most < 2.6 * tokens.nbytes

@@ -144,3 +144,14 @@ def test_special_strings_count_only_in_their_own_case():
     words = packing.TextIds(library)
     for text in ["<|EndOfText|>", "<|STARTOFTEXT|>", "Ab<|EndOfText|>Cd", "<|endoftext|>", "A<|endoftext|>B", "X <|startoftext|>Y.", "A<|B", "HELLO World."]:
         assert words.of(text) == b"".join(i.to_bytes(4, "little") for i in library.encode(text, add_special_tokens=False).ids), text
+
+
+@pytest.mark.parametrize("block", [1000, 4])
+def test_documents_are_scanned_and_cut_by_one_worker(spark, monkeypatch, block):
+    """A second one for each task would wait in memory through the later stages."""
+    monkeypatch.setattr(decontaminate._scanned, "__defaults__", tuple(block if x == decontaminate.BLOCK_WORDS else x for x in decontaminate._scanned.__defaults__))
+    docs = spark.createDataFrame([(1, "x A, b c. y z", 13), (2, None, None), (3, "a b c", 5), (4, "é d-e-f é é é é", 15)], "doc_id int, text string, n_chars int")
+    bench = spark.createDataFrame([("i", "a b c"), ("j", "d e f")], "item_id string, text string")
+    out = decontaminate.decontaminate(docs, bench, window=3)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow ") == 1
+    assert sorted(map(tuple, out.collect())) == [(1, "x . y z", 7), (2, None, None), (4, "é  é é é é", 10)]

@@ -2,7 +2,9 @@
 
 import random
 import time
+from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -106,6 +108,26 @@ def test_reflexive_closure_of_a_ring(spark):
     assert time.time() - began < 60
 
 
+def test_roots_on_a_cycle_share_a_walk(monkeypatch):
+    """300 roots on a ring of 300 that leads to a chain, itself with roots: a walk for the ring and one for each other root."""
+    edges = [(k, (k + 1) % 300) for k in range(300)] + [(7, 300), (300, 301), (301, 302), (302, 302)]
+    first = np.searchsorted([a for a, _ in sorted(edges)], np.arange(304))
+    target = np.array([b for _, b in sorted(edges)])
+    cycle = graph._cycles(first, target)
+    assert len(set(cycle[:300])) == 1 and len(set(cycle)) == 4
+    walks, walk = [], graph._walk
+    monkeypatch.setattr(graph, "_walk", lambda *a: walks.append(a[0]) or walk(*a))
+    monkeypatch.setattr(graph, "CHUNK", 100)
+    sent = SimpleNamespace(value=(pa.array(range(303)), first, target, cycle))
+    for reflexive in (False, True):
+        walks.clear()
+        lists = [x for b in graph._walker(sent, reflexive)([pa.RecordBatch.from_pydict({"root": [*range(303), 999]})]) for x in b.to_pylist()]
+        got = [(r, n) for x in lists for r in x["roots"] for n in x["nodes"]]
+        want = {(r, n) for r in range(300) for n in range(303)} | {(300, 301), (300, 302), (301, 302), (302, 302)}
+        assert len(walks) == 4 and len(got) == len(set(got))
+        assert set(got) == want | ({(300, 300), (301, 301), (999, 999)} if reflexive else set())
+
+
 def items_of(spark, rows):
     kinds = "pattern_id string, ord long, nodes int, shape_terms array<string>, call_terms array<string>, invocation_terms array<string>"
     return spark.createDataFrame(rows, kinds), spark.createDataFrame([], "pattern_id string, strictness string, ord long")

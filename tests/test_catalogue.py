@@ -55,3 +55,11 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.connected_components(e).collect()}
     assert got == {4: 4, 5: 4, 9: 4, 2: 2, 6: 6, 7: 6, 8: 6}
     assert components.connected_components(e.limit(0)).count() == 0
+
+
+def test_every_caller_is_a_root(spark, tmp_path):
+    """Errors of users 1, 2, 3, 20 in a row, and an edge that no other leads to: no root is left out by its number."""
+    users = [(1, "error", 5.0), (2, "error", 5.0), (3, "error", 5.0), (20, "error", 500.0), (7, "view", 5.0), (9, "error", 5.0), (20, "error", 5.0), (1, "view", 5.0)]
+    spark.createDataFrame([(k, *u) for k, u in enumerate(users)], "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = [tuple(r) for r in catalogue.QUERIES["support_closure"](spark, str(tmp_path)).select("root", "node").collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (1, 20), (2, 3), (2, 20), (3, 20), (9, 20)]

@@ -128,6 +128,22 @@ def test_roots_on_a_cycle_share_a_walk(monkeypatch):
         assert set(got) == want | ({(300, 300), (301, 301), (999, 999)} if reflexive else set())
 
 
+def test_walks_go_from_cycle_to_cycle(monkeypatch):
+    """50 rings of 40 in a chain, each with a root of its own beside it: steps of a walk grow with the rings, not with their nodes, and pairs leave in full batches."""
+    edges = [(40 * r + k, 40 * r + (k + 1) % 40) for r in range(50) for k in range(40)] + [(40 * r + 20, 40 * r + 40) for r in range(49)] + [(2000 + r, 40 * r) for r in range(50)]
+    edges.sort()
+    first, target = np.searchsorted([a for a, _ in edges], np.arange(2051)), np.array([b for _, b in edges])
+    sizes, walk = set(), graph._walk
+    monkeypatch.setattr(graph, "_walk", lambda root, first, *a: sizes.add(len(first) - 1) or walk(root, first, *a))
+    monkeypatch.setattr(graph, "CHUNK", 1000)
+    sent = SimpleNamespace(value=(pa.array(range(2050)), first, target, graph._cycles(first, target)))
+    out = list(graph._paired(graph._walker(sent, False))([pa.RecordBatch.from_pydict({"root": [*range(0, 2000, 8), *range(2000, 2050)]})]))
+    got = [(x["root"], x["node"]) for b in out for x in b.to_pylist()]
+    want = {(a, n) for a in [*range(0, 2000, 8), *range(2000, 2050)] for n in range(a // 40 * 40 if a < 2000 else (a - 2000) * 40, 2000)}
+    assert sizes == {100} and len(got) == len(set(got)) and set(got) == want
+    assert all(500 <= len(b) <= 1500 for b in out[:-1])
+
+
 def items_of(spark, rows):
     kinds = "pattern_id string, ord long, nodes int, shape_terms array<string>, call_terms array<string>, invocation_terms array<string>"
     return spark.createDataFrame(rows, kinds), spark.createDataFrame([], "pattern_id string, strictness string, ord long")
